@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tablelog.llm import quality_rules
+from tablelog.llm import quality_rules, secret_scan, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 
 ORACLE_SQL = {
