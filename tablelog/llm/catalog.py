@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tablelog.llm import quality_rules, secret_scan, simhash
+from tablelog.llm import quality_rules, secret_scan, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
