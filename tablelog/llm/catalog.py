@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tablelog.llm import quality_rules, secret_scan, simhash, warc
+from tablelog.llm import packing, quality_rules, secret_scan, simhash, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
