@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tablelog.llm import packing, quality_rules, secret_scan, simhash, warc
+from tablelog.llm import decontamination, packing, quality_rules, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
