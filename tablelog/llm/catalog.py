@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablelog.llm import decontamination, packing, quality_rules, secret_scan, simhash, warc
+from tablelog.llm import decontamination, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op10_warc": warc.op10_warc,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,32 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+#: Bits of the bitmap of :func:`maybe_in`, whatever the number of keys.
+BITMAP_BITS = 1 << 21
+
+
+def maybe_in(wanted: DataFrame, key: str) -> Column:
+    """Filter on a column of the same name: true for all keys of ``wanted``, and for few others.
+
+    A bitmap of fixed size goes to the executors, so that a join that follows
+    moves few rows; with more keys than bits it merely spares fewer.
+    """
+    spark = wanted.sparkSession
+
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)).cast("int")
+
+    rows = wanted.select(bit(key).alias("h")).select(F.shiftright("h", 3).alias("byte"), (F.col("h") % 8).alias("bit"))
+    rows = rows.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).toPandas()
+    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    bits[rows["byte"].to_numpy(np.int64)] = rows["v"].to_numpy(np.uint8)
+    bitmap = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def listed(h: pd.Series) -> pd.Series:
+        x = h.to_numpy()
+        return pd.Series((bitmap.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return listed(bit(key))

@@ -34,14 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelog.llm.common import small_batches, stored
+from tablelog.llm.common import maybe_in, small_batches, stored
 
 WINDOW = 13
 #: Terms of each window that the intersection asks for.
 ANCHORS = 3
 BLOCK_WORDS = 500_000
-#: Bits of the bitmap that spares most documents the last join.
-BITMAP_BITS = 1 << 21
 #: Words: not ASCII except digits and letters.  Over bytes, all bytes of other characters belong to words.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -155,27 +153,6 @@ def _spans(words: list[bytes], items: dict, cands: list, window: int) -> tuple[l
     return merged, found
 
 
-def _bit(c: str):
-    return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)).cast("int")
-
-
-def _listed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc`` may be in ``wanted``: by a bitmap of fixed size, so that few texts are moved."""
-    spark = docs.sparkSession
-    rows = wanted.select(_bit("doc").alias("h")).select(F.shiftright("h", 3).alias("byte"), (F.col("h") % 8).alias("bit"))
-    rows = rows.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).toPandas()
-    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    bits[rows["byte"].to_numpy(np.int64)] = rows["v"].to_numpy(np.uint8)
-    bitmap = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def listed(h: pd.Series) -> pd.Series:
-        x = h.to_numpy()
-        return pd.Series((bitmap.value[x >> 3] >> (x & 7)) & 1 == 1)
-
-    return docs.filter(listed(_bit("doc")))
-
-
 def _probes(block: list, freq: dict[bytes, int], window: int, anchors: int) -> tuple[dict[bytes, int], list, list]:
     """Number of each anchor term, (term, item, position) rows, and the anchor sets that each item asks for."""
     number: dict[bytes, int] = {}
@@ -207,7 +184,7 @@ def _block_hits(docs: DataFrame, block: list, window: int, anchors: int) -> tupl
 
     cands = stored(lists.filter(holds("item", "qs")).select("doc", "item", "diagonal"), "decontamination-diagonals")
     of_doc = cands.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal")).alias("cands"))
-    texts = _listed(docs, cands).join(of_doc, "doc").select("doc", "text", "cands")
+    texts = docs.filter(maybe_in(cands, "doc")).join(of_doc, "doc").select("doc", "text", "cands")
     items = spark.sparkContext.broadcast([(str(i), w) for i, w in block])
     kind = docs.schema["doc"].dataType.simpleString()
 
