@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelog.llm import decontamination, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from tablelog.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
 }
 
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
