@@ -84,26 +84,34 @@ def words(text: Column) -> Column:
 BITMAP_BITS = 1 << 21
 
 
-def maybe_in(wanted: DataFrame, key: str) -> Column:
-    """Filter on a column of the same name: true for all keys of ``wanted``, and for few others.
-
-    A bitmap of fixed size goes to the executors, so that a join that follows
-    moves few rows; with more keys than bits it merely spares fewer.
-    """
-    spark = wanted.sparkSession
+def key_bit(key: str) -> Column:
+    """Place of a key in the bitmap of :func:`key_bitmap`."""
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)).cast("int")
 
-    def bit(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)).cast("int")
 
-    rows = wanted.select(bit(key).alias("h")).select(F.shiftright("h", 3).alias("byte"), (F.col("h") % 8).alias("bit"))
+def key_bitmap(wanted: DataFrame, key: str):
+    """Broadcast bitmap of fixed size with the bits of all keys of ``wanted``; see :func:`has_bit`."""
+    rows = wanted.select(key_bit(key).alias("h")).select(F.shiftright("h", 3).alias("byte"), (F.col("h") % 8).alias("bit"))
     rows = rows.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).toPandas()
     bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
     bits[rows["byte"].to_numpy(np.int64)] = rows["v"].to_numpy(np.uint8)
-    bitmap = spark.sparkContext.broadcast(bits)
+    return wanted.sparkSession.sparkContext.broadcast(bits)
+
+
+def has_bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def maybe_in(wanted: DataFrame, key: str) -> Column:
+    """Filter on a column of the same name: true for all keys of ``wanted``, and for few others.
+
+    So a join that follows moves few rows; with more keys than bits it merely
+    spares fewer.
+    """
+    bitmap = key_bitmap(wanted, key)
 
     @F.pandas_udf("boolean")
     def listed(h: pd.Series) -> pd.Series:
-        x = h.to_numpy()
-        return pd.Series((bitmap.value[x >> 3] >> (x & 7)) & 1 == 1)
+        return pd.Series(has_bit(bitmap.value, h.to_numpy()))
 
-    return listed(bit(key))
+    return listed(key_bit(key))

@@ -9,7 +9,7 @@ too.  In the suffix tree of all texts these are the internal nodes of depth
    prefix that fits memory to a group as it is; a prefix with too many suffixes
    is replaced by its longer ones, in the end by whole windows.
 2. A second scan sends every suffix to the group of its variable-length prefix.
-   A batch of documents sends the first occurrence of a window only: later ones
+   Of a batch of documents only the first one with a window sends it: the others
    already know an earlier owner, so a passage that a third of all documents
    share reaches a group once for each batch.
 3. A group builds its subtree down to depth ``window``, as a sorted array of the
@@ -40,16 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelog.llm.common import maybe_in, small_batches, stored
+from tablelog.llm.common import has_bit, key_bit, key_bitmap, maybe_in, small_batches, stored
 
 WINDOW = 13
 #: Prefix lengths in words; the last level is the window itself.
 LEVELS = (1, 2, 4)
 BUCKETS = 4096
-#: Suffixes of one group (some 100 MB while it is sorted).
-GROUP_SUFFIXES = 1_500_000
+#: Suffixes of one group (some 40 MB while it is sorted).
+GROUP_SUFFIXES = 400_000
 #: Documents whose repeats are found within a task, before anything is sent.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Searches with other names at most; each needs a mismatch of the one before.
 ROUNDS = 4
 
@@ -240,7 +240,7 @@ def repeats(
             doc_, pos_ = doc[order], pos[order]
             later = doc_ != doc_[own]
             yield _rows(1, list(_found_rows(doc_[later], pos_[later], doc_[own][later], pos_[own][later], parts)))
-            keep = order[own == np.arange(len(own))]
+            keep = order[~later]
             keep = keep[np.lexsort((pos[keep], doc[keep], group[keep]))]
             cuts = np.flatnonzero(np.r_[True, np.diff(group[keep]) > 0, True])
             rows = []
@@ -331,9 +331,9 @@ def verified_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     for seed in range(rounds):
         runs = repeats(docs, window, seed, **options).withColumn("run", F.monotonically_increasing_id())
         runs = stored(runs, "substring-runs")
-        bad = stored(mismatches(docs, runs), "substring-mismatches")
-        none = bad.isEmpty()
-        good = runs if none else runs.join(bad, "run", "left_anti")
+        bad = mismatches(docs, runs)
+        none = not bad.agg(F.count("*")).first()[0]
+        good = runs if none else stored(runs.join(bad, "run", "left_anti"), "substring-verified")
         kept = good if kept is None else kept.union(good)
         if none:
             break
@@ -386,13 +386,15 @@ def remove_repeats(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(~has_bit(touched.value, b.column("bit").to_numpy())))
             words = [(d, split(t)) for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist())]
             if words:
                 yield batch([(d, len(w), 0, " ".join(w)) for d, w in words])
 
     small_batches(df.sparkSession)
-    untouched = docs.filter(~F.coalesce(maybe_in(asked, "doc"), F.lit(False)))
-    out = _walk_documents(docs, asked, handle, schema).union(untouched.mapInArrow(whole, schema))
+    touched = key_bitmap(asked, "doc")
+    untouched = docs.withColumn("bit", key_bit("doc")).mapInArrow(whole, schema)
+    out = _walk_documents(docs, asked, handle, schema).union(untouched)
     return out.withColumnRenamed("doc", id_col)
 
 
