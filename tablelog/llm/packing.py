@@ -40,7 +40,7 @@ END_ID = 2
 #: Search nodes for one bin before the best filling so far is taken.
 NODES = 20_000
 #: Pieces of one length are ranked in parts of about this many.
-PART_ROWS = 4_000
+PART_ROWS = 10_000
 
 
 # -- tokens ------------------------------------------------------------------
