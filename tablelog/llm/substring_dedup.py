@@ -13,7 +13,7 @@ too.  In the suffix tree of all texts these are the internal nodes of depth
    already know an earlier owner, so a passage that a third of all documents
    share reaches a group once for each batch.
 3. A group builds its subtree down to depth ``window``, as a sorted array of the
-   names of the nodes at that depth (64-bit, of the words on the path).  A node
+   names of the nodes at that depth (56 bits of a hash of the words on the path).  A node
    with leaves in two documents is a deep internal node; its first document is
    the owner of the words below it.
 4. Nodes at neighbouring positions with the same owner join into maximal
@@ -137,7 +137,8 @@ def _groups_of(h: np.ndarray, window: int, levels: tuple[int, ...], first: np.nd
 
 # A blob is a compressed run of equally long columns.
 FOUND = (np.int64, np.int32, np.int64, np.int32)  # document, position, its owner's
-SENT = (np.uint64, np.int64, np.int32)  # name, document, position
+#: Bytes of a name that are sent.
+NAME_BYTES = 7
 
 
 def _blob(columns) -> bytes:
@@ -157,6 +158,43 @@ def _columns(blobs: list[bytes], types: tuple) -> list[np.ndarray]:
     return [np.concatenate(c) if parts else np.empty(0, t) for c, t in zip(zip(*parts) if parts else [()] * len(types), types)]
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number, byte by byte of all: what is alike stands together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _suffix_blob(name: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Suffixes sorted by document and position: names as they are, the rest as runs and steps, compressed."""
+    new = np.r_[True, doc[1:] != doc[:-1]]
+    first = np.flatnonzero(new)
+    step = np.where(new, pos, np.diff(pos, prepend=0))
+    raw = doc[first].astype("<i8").tobytes() + np.diff(np.r_[first, len(doc)]).astype("<i8").tobytes() + _planes(step, 4)
+    sizes = np.array([len(doc), len(first), len(raw)], dtype="<i8").tobytes()
+    return sizes + _planes(name, NAME_BYTES) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, document, position) of all blobs."""
+    names, docs, places = [], [], []
+    for x in blobs:
+        n, n_docs, size = np.frombuffer(x, "<i8", 3).tolist()
+        names.append(_unplaned(x, n, NAME_BYTES, 24))
+        raw = pa.decompress(x[24 + n * NAME_BYTES :], size, codec="zstd", asbytes=True)
+        count = np.frombuffer(raw, "<i8", n_docs, 8 * n_docs)
+        docs.append(np.repeat(np.frombuffer(raw, "<i8", n_docs), count))
+        total = np.cumsum(_unplaned(raw, n, 4, 16 * n_docs).astype(np.int64))
+        first = np.r_[0, np.cumsum(count)[:-1]]
+        before = np.r_[0, total][first]  # steps start anew in each document
+        places.append((total - np.repeat(before, count)).astype(np.int32))
+    return np.concatenate(names), np.concatenate(docs), np.concatenate(places)
+
+
 def _owned(name: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(indices in order of name, document, position; for each the place of its name's first)."""
     order = np.lexsort((pos, doc, name))
@@ -246,7 +284,7 @@ def repeats(
             rows = []
             for i, j in zip(cuts[:-1], cuts[1:]):
                 k = keep[i:j]
-                rows.append((int(group[k[0]]), _blob([name[k], doc[k], pos[k]])))
+                rows.append((int(group[k[0]]), _suffix_blob(name[k], doc[k], pos[k])))
             yield _rows(0, rows)
 
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +292,7 @@ def repeats(
             if kind:
                 yield _rows(1, [(key, blobs[0])])
                 continue
-            name, doc, pos = _columns(blobs, SENT)
+            name, doc, pos = _suffixes(blobs)
             order, own = _owned(name, doc, pos)
             doc, pos = doc[order], pos[order]
             later = doc != doc[own]
