@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tablelog.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from tablelog.llm import decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_warc": warc.op10_warc,

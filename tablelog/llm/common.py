@@ -115,3 +115,12 @@ def maybe_in(wanted: DataFrame, key: str) -> Column:
         return pd.Series(has_bit(bitmap.value, h.to_numpy()))
 
     return listed(key_bit(key))
+
+
+def without(df: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key isn't in ``removed`` (one column, of that name); null keys stay.
+
+    Only rows whose key may be in it are moved.
+    """
+    maybe = F.coalesce(maybe_in(removed, key), F.lit(False))
+    return df.filter(~maybe).unionByName(df.filter(maybe).join(removed.distinct(), key, "left_anti"))
