@@ -1 +1,3 @@
 """A PySpark-native engine for transactional, log-structured Parquet tables."""
+
+VERSION = "0.1"
