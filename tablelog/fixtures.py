@@ -17,7 +17,7 @@ from tablelog.operators.transaction import Transaction
 from tablelog.operators.write import commit_info, create_table
 from tablelog.sources import dv as DV
 from tablelog.sources.fs import Fs
-from tablelog.sources.snapshot import LOG_DIR, Snapshot, commit_name
+from tablelog.sources.snapshot import LOG_DIR, READER_FEATURES, Snapshot, commit_name
 from tablelog.workspace import scratch
 
 
@@ -40,7 +40,9 @@ def metadata(schema: T.StructType, partition_columns: Sequence[str] = (), config
 def protocol(*features: str) -> dict:
     if not features:
         return {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}
-    return {"protocol": {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": list(features), "writerFeatures": list(features)}}
+    readers = [f for f in features if f in READER_FEATURES]
+    out = {"minReaderVersion": 3 if readers else 1, "minWriterVersion": 7, "writerFeatures": list(features)}
+    return {"protocol": out | ({"readerFeatures": readers} if readers else {})}
 
 
 def data_file(df: DataFrame, root: str, name: str, partition_values: dict | None = None, stats: str | None = None, vector: dict | None = None) -> dict:
