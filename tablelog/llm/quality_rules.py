@@ -150,10 +150,10 @@ def filter_documents(df: DataFrame, text: str = "text") -> DataFrame:
     ordered = [rule for rule, _, _ in order_rules(df, text)]
     # columns of the same names as the counts may be in the input
     private = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__qr_row"), F.col(text).alias(TEXT))
-    out = with_counts(private, TEXT).withColumn("__qr_keep", ~base_failed() & cascade(ordered).isNull())
-    # a number for each row keeps Catalyst from moving the filter below the counts, where
-    # it would put the whole expression of the words in place of each use of them
-    out = out.select("__qr_row", "__qr_keep", F.monotonically_increasing_id().alias("__qr_n"))
+    # a condition that isn't deterministic stays where it is; else Catalyst would move the filter
+    # below the counts and put the whole expression of the words in place of each use of them
+    here = F.monotonically_increasing_id() >= 0
+    out = with_counts(private, TEXT).withColumn("__qr_keep", here & ~base_failed() & cascade(ordered).isNull())
     return out.filter("__qr_keep").select("__qr_row.*")
 
 
