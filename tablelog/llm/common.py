@@ -77,7 +77,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives no words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 #: Bits of the bitmap of :func:`maybe_in`, whatever the number of keys.

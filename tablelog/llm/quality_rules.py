@@ -91,7 +91,10 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     n = F.size(WORDS)
     hashes = F.when(
         n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col(WORDS), i, F.lit(WINDOW)))),
+        let(
+            F.transform(WORDS, lambda w: F.xxhash64(w)),
+            lambda h: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])),
+        ),
     ).otherwise(F.array().cast("array<long>"))
     df = df.withColumn(TEXT, F.coalesce(F.col(text), F.lit(""))).withColumn(WORDS, words(F.col(TEXT)))
     df = df.withColumn(HASHES, hashes)
