@@ -149,22 +149,23 @@ def _keep_compare(c: Compare, b: Bounds) -> Column | None:
     if isinstance(t, _SKIPPED_TYPES):
         return None
     low, high = b.stat("minValues", fields, t), b.stat("maxValues", fields, t)
+    some = F.coalesce(nulls < rows, F.lit(True))  # no comparison holds where all is null
     if c.op in _SWAP:
         if not _literal_fits(c.value, t):
             return None
-        return _compared(low if _SWAP[c.op] == "minValues" else high, c.op, _literal(c.value, t))
+        return some & _compared(low if _SWAP[c.op] == "minValues" else high, c.op, _literal(c.value, t))
     values = c.value if c.op == "in" else (c.value,)
     if not all(_literal_fits(v, t) for v in values):
         return None
     if c.op == "!=":
         v = _literal(c.value, t)
         out = ~((low == v) & (high == v))
-        return out | (F.length(low) >= CUT_LENGTH) if isinstance(t, T.StringType) else out
+        return some & (out | (F.length(low) >= CUT_LENGTH) if isinstance(t, T.StringType) else out)
     out = None
     for v in values:
         own = (low <= _literal(v, t)) & (high >= _literal(v, t))
         out = own if out is None else out | own
-    return out
+    return some & out
 
 
 def keep(predicate, bounds: Bounds) -> Column | None:
