@@ -145,7 +145,7 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
     check_writable(snapshot)
     check_not_null(df, snapshot.schema, table)
     parts = snapshot.partition_columns
-    staging = f"{root}/_staging_{uuid.uuid4().hex}"
+    staging = f"{root}/_staging/{uuid.uuid4().hex}"
     added: list[Added] = []
     try:
         if parts:
@@ -178,6 +178,7 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
         raise
     finally:
         fs.delete(staging, recursive=True)
+        fs.delete_if_empty(f"{root}/_staging")
     return added
 
 

@@ -81,6 +81,14 @@ class Fs:
     def delete(self, p: str, recursive: bool = False) -> None:
         self.of(p).delete(self.path(p), recursive)
 
+    def delete_if_empty(self, folder: str) -> None:
+        """Another writer may be using it."""
+        try:
+            if not self.of(folder).listStatus(self.path(folder)):
+                self.of(folder).delete(self.path(folder), False)
+        except Py4JJavaError:
+            pass
+
     def status(self, p: str) -> tuple[int, int]:
         s = self.of(p).getFileStatus(self.path(p))
         return s.getLen(), s.getModificationTime()
