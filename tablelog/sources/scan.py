@@ -53,9 +53,12 @@ def prune(snapshot: Snapshot, predicate=None, count: bool = True) -> Pruned:
     files = snapshot.files
     bounds = Bounds(snapshot.schema, snapshot.partition_columns, snapshot.mapping_mode)
     test = keep(predicate, bounds) if predicate is not None else None
-    kept = files.filter(F.coalesce(test, F.lit(True))) if test is not None else files
-    rows = sorted(kept.collect(), key=lambda r: (r["path"], r["dv_id"] or ""))
-    before = len(rows) if test is None else files.count() if count else None
+    if test is not None:
+        found = files.filter(F.coalesce(test, F.lit(True))).collect()
+    else:
+        found = snapshot.local_files if snapshot.local_files is not None else files.collect()
+    rows = sorted(found, key=lambda r: (r["path"], r["dv_id"] or ""))
+    before = len(rows) if test is None else snapshot.file_count if count else None
     return Pruned(rows, before, len(rows), catalyst.described(predicate) if predicate is not None else [])
 
 
