@@ -47,7 +47,7 @@ def protocol(*features: str) -> dict:
 
 def data_file(df: DataFrame, root: str, name: str, partition_values: dict | None = None, stats: str | None = None, vector: dict | None = None) -> dict:
     """Write a frame as one parquet file of the table and return its add action."""
-    spark, fs = df.sparkSession, Fs(df.sparkSession)
+    fs = Fs(df.sparkSession)
     staging = f"{root}/_staging/{name}.d"
     df.coalesce(1).write.parquet(staging)
     (part,) = [n for n, _, _ in fs.names(staging) if n.startswith("part-")]
@@ -55,7 +55,6 @@ def data_file(df: DataFrame, root: str, name: str, partition_values: dict | None
     fs.delete(staging, recursive=True)
     fs.delete_if_empty(f"{root}/_staging")
     size, changed = fs.status(f"{root}/{name}")
-    del spark
     add = {"path": name, "partitionValues": partition_values or {}, "size": size, "modificationTime": changed, "dataChange": True}
     return {"add": add | ({"stats": stats} if stats else {}) | ({"deletionVector": vector} if vector else {})}
 

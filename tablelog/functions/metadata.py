@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelog import schema as S
-from tablelog.sources.fs import Fs, join, plain
+from tablelog.sources.fs import join, plain
 from tablelog.sources.snapshot import Snapshot
 
 
@@ -17,8 +17,7 @@ def list_files(snapshot: Snapshot, delete_count: bool = False, transform_express
     Cardinality is null where the log has no statistics.  The transform tells
     which constants a reader inserts, by column position.
     """
-    fs, root = Fs(snapshot.spark), snapshot.root
-    del fs
+    root = snapshot.root
     path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     absolute = F.when(path.rlike("^(/|file:|[A-Za-z0-9+.-]+://)"), path).otherwise(F.concat(F.lit(plain(root) + "/"), path))
     parts = snapshot.partition_columns

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from dataclasses import asdict, dataclass, field
 
@@ -59,3 +60,15 @@ class SessionLog:
 def parse_logline(message: str) -> Pushdown:
     """A FilterPushdown record's message as a structure."""
     return Pushdown(**json.loads(message))
+
+
+class EngineLog(logging.Handler):
+    """Keeps log lines of this package as (target, message, file, line) records."""
+
+    def __init__(self, to: SessionLog):
+        super().__init__(logging.DEBUG)
+        self.to = to
+
+    def emit(self, record: logging.LogRecord) -> None:
+        line = {"target": record.name, "message": record.getMessage(), "file": record.filename, "line": record.lineno}
+        self.to.record("Engine", json.dumps(line))

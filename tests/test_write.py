@@ -231,3 +231,20 @@ def test_storage_options():
     az = storage.hadoop_options("abfss://c@acc.dfs.core.windows.net/t", {"connection_string": "AccountName=acc;AccountKey=xx"})
     assert az["fs.azure.account.key.acc.dfs.core.windows.net"] == "xx"
     assert storage.spark_path("az://c/t", {"account_name": "acc"}) == "abfss://c@acc.dfs.core.windows.net/t"
+
+
+def test_settings_and_logs(spark, root):
+    s = made(spark, root)
+    assert [tuple(r) for r in s.sql("DESCRIBE t").collect()] == [("i", "bigint", True, False)]
+    s.sql("SET delta_kernel_logging = true")
+    s.sql("INSERT INTO t VALUES (1)")
+    text = "SELECT * FROM t WHERE i = 1"
+    s.sql(text)
+    s.sql("SET delta_kernel_logging = false")
+    kinds = {r["type"] for r in s.log.frame(spark).collect()}
+    assert {"Engine", "FilterPushdown", "MultiFileList"} <= kinds
+    assert s.pushdown_log_of(spark.createDataFrame([(1, text)], "nr int, query string")).first()["nr"] == 1
+    s.sql("CALL truncate_logs()")
+    assert s.pushdown_log().count() == 0
+    with pytest.raises(InvalidInput):
+        s.set("other", True)
