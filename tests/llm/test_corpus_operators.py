@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tablelog.llm import decontamination, line_dedup, packing, simhash, substring_dedup, warc
+from tablelog.llm import decontamination, line_dedup, near_documents, packing, simhash, substring_dedup, warc
 from tablelog.llm.components import connected_components
 from tests.llm.conftest import frame
 
@@ -70,6 +70,50 @@ def test_links_of_crowded_keys(spark, bucket, groups):
     assert len(set(zip(root, label))) == len(set(root)) == len(set(label))
 
 
+def shingles(text, k=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def near_rows():
+    """Copies of few texts with 0 to 6 words altered, around a common passage, besides short, empty and null texts."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(30)]
+    rows = []
+    for k in range(400):
+        base = random.Random(k % 23)
+        w = [f"w{base.randrange(5000)}" for _ in range(base.choice([4, 5, 30, 90, 300]))] + common * (k % 3 == 0)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w).upper() if k % 7 == 0 else " ".join(w)))
+    return rows + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE  two")]
+
+
+def test_near_documents(spark, none, repeated):
+    rows = near_rows()
+    sets = [shingles(t) for _, t in rows]
+    linked = [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(sets[i], sets[j])]
+    root = components(len(rows), linked)
+    fps = [slow_fingerprint(t, 5) for _, t in rows]
+    assert any(bin(fps[i] ^ fps[j]).count("1") > 2 for i, j in linked)  # what two bits miss
+    got = {r["doc_id"]: r["component_id"] for r in near_documents.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {rows[k][0]: rows[root[k]][0] for k in range(len(rows))}
+    assert near_documents.near_duplicates(none).count() == 0
+    assert near_documents.near_duplicates(repeated).count() == 41
+
+
+def test_near_duplicate_stage_of_the_pipeline(spark, tmp_path):
+    rows = near_rows()
+    sets = [shingles(t) for _, t in rows]
+    root = components(len(rows), [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(sets[i], sets[j])])
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [rows[k][0] for k in range(len(rows)) if root[k] == k]
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100), (7, 3), (200, 201)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
