@@ -11,10 +11,12 @@ template has once proposes where the template would begin, and proposals near
 each other are one region, so a text may hold a license several times.
 
 Templates whose words a text lacks too many of are skipped: coverage can't be
-more than the words they share.
+more than the words they share.  A template with key phrases (version, Lesser,
+NC, a clause) needs them in its span, and of templates that align mostly the
+same words of a text the one with the most aligned words is kept.
 
 Defined results: null and empty texts hold no license; spans are in words, end
-exclusive; equal spans of several templates keep each.
+exclusive; spans of templates that align other words may overlap.
 """
 
 from __future__ import annotations
@@ -29,11 +31,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelog.llm.common import small_batches
+from tablelog.llm.license_texts import TEXTS
 
 COVERAGE = 0.8
 #: Regions reach this share of the template beyond it on both sides.
 SLACK = 0.25
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+_NO_ENDORSEMENT = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """
+_ADVERTISING = """3. All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by the copyright holder. 4. """
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_NOTICE = """, provided that the above copyright notice and this permission notice appear in all copies"""
+_ISC_DISCLAIMER = """. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+
+
+def _gnu_header(kind: str, version: str, work: str = "program") -> str:
+    """Notice that the GNU licenses ask to put at the start of each file."""
+    return f"""This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public
+License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."""
+
+
 #: Fixed texts of public licenses and of the notices that refer to them.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -45,24 +80,26 @@ IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
 CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
 CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
-"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
-conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
-list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "ISC": _ISC + _ISC_NOTICE + _ISC_DISCLAIMER,
+    "0BSD": _ISC + _ISC_DISCLAIMER,
+    "BSD-2-Clause": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD + "3. " + _NO_ENDORSEMENT + _BSD_DISCLAIMER,
+    "BSD-4-Clause": _BSD + _ADVERTISING + _NO_ENDORSEMENT + _BSD_DISCLAIMER,
+    **TEXTS,
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "GPL-2.0-header": _gnu_header("General", "2"),
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-3.0-header": _gnu_header("General", "3"),
+    "LGPL-2.1-header": _gnu_header("Lesser General", "2.1", "library"),
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-header": _gnu_header("Lesser General", "3"),
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0-header": _gnu_header("Affero General", "3"),
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3",
     "MIT-notice": "Released under the MIT License",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
@@ -70,6 +107,34 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Gen
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
 }
 
+#: Phrases that a text must hold where a template lies, as near relatives share most of the other words.
+KEYS = {
+    "ISC": ["provided that the above copyright notice"],
+    "BSD-3-Clause": ["neither the name of"],
+    "BSD-4-Clause": ["all advertising materials", "neither the name of"],
+    "Apache-2.0": ["apache license version 2.0"],
+    "GPL-2.0": ["gnu general public license version 2"],
+    "GPL-3.0": ["gnu general public license version 3"],
+    "LGPL-2.1": ["gnu lesser general public license version 2.1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3"],
+    "MPL-2.0": ["mozilla public license version 2.0"],
+    "Apache-2.0-header": ["apache license version 2.0"],
+    "MIT-notice": ["mit license"],
+    "Apache-2.0-notice": ["apache license version 2.0"],
+    "CC-BY-NC-4.0-notice": ["cc by-nc 4.0"],
+    "CC-BY-4.0-notice": ["cc by 4.0"],
+    "GPL-2.0-header": ["gnu general public license as published", "version 2 of the license"],
+    "GPL-2.0-notice": ["gnu general public license version 2"],
+    "GPL-3.0-header": ["gnu general public license as published", "version 3 of the license"],
+    "GPL-3.0-notice": ["gnu general public license version 3"],
+    "LGPL-2.1-header": ["gnu lesser general public license as published", "version 2.1 of the license"],
+    "LGPL-2.1-notice": ["gnu lesser general public license version 2.1"],
+    "LGPL-3.0-header": ["gnu lesser general public license as published", "version 3 of the license"],
+    "LGPL-3.0-notice": ["gnu lesser general public license version 3"],
+    "AGPL-3.0-header": ["gnu affero general public license as published", "version 3 of the license"],
+    "AGPL-3.0-notice": ["gnu affero general public license version 3"],
+}
+
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -125,23 +190,39 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, keys: dict[str, list[str]] = KEYS):
         self.coverage = coverage
-        self.templates = [(name, w, Counter(w), {x: k for k, x in enumerate(w) if w.count(x) == 1}) for name, t in templates.items() if (w := words_of(t))]
+        self.templates = []
+        for name, t in templates.items():
+            if w := words_of(t):
+                count = Counter(w)
+                single = {x: k for k, x in enumerate(w) if count[x] == 1}
+                self.templates.append((name, w, count, single, [f" {k} " for k in keys.get(name, ())]))
 
     def licenses(self, text: str | None) -> list[dict]:
         words = words_of(text)
         has = Counter(words)
-        out = []
-        for name, own, count, single in self.templates:
+        found = []
+        for name, own, count, single, keys in self.templates:
             need = self.coverage * len(own)
-            if sum(min(n, has[w]) for w, n in count.items()) < need:
+            if len(words) < need or sum(min(n, has[w]) for w, n in count.items()) < need:
                 continue
             for a, b in self._regions(words, own, single):
                 pairs = patience(words[a:b], own)
-                if pairs and len(pairs) >= need:
-                    out.append({"name": name, "start": a + pairs[0][0], "end": a + pairs[-1][0] + 1, "coverage": len(pairs) / len(own)})
-        return sorted(out, key=lambda x: (x["start"], x["end"], x["name"]))
+                if not pairs or len(pairs) < need:
+                    continue
+                start, end = a + pairs[0][0], a + pairs[-1][0] + 1
+                if keys and not all(k in f" {' '.join(words[start:end])} " for k in keys):
+                    continue
+                span = {"name": name, "start": start, "end": end, "coverage": len(pairs) / len(own)}
+                found.append((span, {a + p for p, _ in pairs}))
+        # the same words aligned to several templates are the one that explains most of them
+        found.sort(key=lambda x: (-len(x[1]), -x[0]["coverage"], x[0]["name"]))
+        kept: list[tuple[dict, set[int]]] = []
+        for span, places in found:
+            if all(2 * len(places & other) <= len(places) for _, other in kept):
+                kept.append((span, places))
+        return sorted((span for span, _ in kept), key=lambda x: (x["start"], x["end"], x["name"]))
 
     @staticmethod
     def _regions(words: list[str], own: list[str], single: dict[str, int]) -> list[tuple[int, int]]:

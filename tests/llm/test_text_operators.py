@@ -93,6 +93,24 @@ def test_license_alignment(docs, none):
     assert not m.licenses(None) and not m.licenses(" ".join(mit[:40]))
 
 
+@pytest.mark.parametrize("name", license_scan.TEMPLATES)
+def test_whole_license_is_itself_only(name):
+    text = license_scan.TEMPLATES[name]
+    assert [(x["name"], x["coverage"]) for x in license_scan.Matcher().licenses(f"Some words before. {text} Others behind.")] == [(name, 1.0)]
+
+
+def test_licenses_and_their_relatives():
+    names = lambda t: [x["name"] for x in license_scan.Matcher().licenses(t)]
+    t = license_scan.TEMPLATES
+    assert names(t["Apache-2.0"].split("APPENDIX")[0]) == ["Apache-2.0"]
+    assert names(t["GPL-3.0"].split("How to Apply These Terms")[0]) == ["GPL-3.0"]
+    assert names("Licensed under CC BY-NC 4.0") == ["CC-BY-NC-4.0-notice"]
+    others = ["Licensed under CC BY-SA 4.0", "Licensed under CC BY 3.0", "Released under the BSD License", "Licensed under the Apache License, Version 1.1"]
+    assert [names(x) for x in others] == [[]] * 4
+    assert names(t["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")) in ([], ["AGPL-3.0-header"])
+    assert names(f"{t['MIT']} {t['BSD-3-Clause']}") == ["MIT", "BSD-3-Clause"]
+
+
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=12))
 def test_patience_pairs_increase(a, b):
     pairs = license_scan.patience(a, b)
