@@ -52,12 +52,12 @@ def _encoder(tokenizer: str):
 
     A byte-level BPE file with a ``.tiktoken`` file of the same vocabulary beside
     it is encoded from that, which gives the same ids several times faster; what
-    it refuses goes to the ``tokenizers`` library.
+    it refuses, and texts that hold the string of an added token (one id, as the
+    ``tokenizers`` library gives by default), go to that library.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer)
-    slow.encode_special_tokens = True  # their strings in a text are ordinary text
     slow.no_truncation()
 
     def by_tokenizers(text: str) -> list[int]:
@@ -67,7 +67,11 @@ def _encoder(tokenizer: str):
     if fast is None:
         return by_tokenizers
 
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+
     def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return by_tokenizers(text)
         try:
             return fast.encode_ordinary(text)
         except BaseException as e:  # noqa: BLE001 - its native panics aren't Exceptions

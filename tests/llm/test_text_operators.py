@@ -207,6 +207,21 @@ def test_fast_tokens_are_the_tokenizers(text):
     assert packing._encoder(path)(text) == tok.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "hello", "\n", "é", "漢", "<", "1"]), max_size=12).map("".join))
+def test_tokens_with_added_tokens_are_the_unmodified_tokenizers(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing._encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_added_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "hello <|endoftext|> world")], "doc_id long, text string")
+    (row,) = packing.pack_documents(df, path).collect()
+    ids = Tokenizer.from_file(path).encode("hello <|endoftext|> world", add_special_tokens=False).ids + [packing.END_ID]
+    assert (row["ids"], row["length"], row["ids_crc32"]) == (ids, 5, zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("length", [1, 1023, 1024, 1025, 2048, 2049, 5000])
 def test_cut(length):
     pieces = packing.cut(length, 1024)
