@@ -159,6 +159,19 @@ def test_names_that_need_escapes(spark, root):
     assert scan(spark, root, where="p = '0+/'").count() == 1
 
 
+def test_variant_query_reads_values(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablelog import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert tuple(queries.variant_roundtrip(spark, sf_dir).first()) == (n, n)
+    altered = F.when(F.col("event_id") == 5, F.parse_json(F.lit("[]"))).otherwise(F.col("v"))
+    monkeypatch.setattr(queries, "scan", lambda *a: scan(*a).withColumn("v", altered))
+    assert tuple(queries.variant_roundtrip(spark, sf_dir).first()) == (n, n - 1)
+
+
 def test_variant(spark, root):
     X.build(spark, "unused", [spark.range(1)])
     df = spark.sql("""SELECT id, parse_json('{"a": ' || id || '}') AS v FROM range(3)""")
