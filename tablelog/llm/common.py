@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators of the contracts: space and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -61,6 +62,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, id_col: str, text_col: str, row: str = "doc") -> tuple[DataFrame, bool]:
+    """(``df`` with a long column ``row`` that tells its rows apart in the order of their ids, whether it is the id).
+
+    Integer ids that are distinct and never null serve as they are.  Else the rows
+    are numbered by id (nulls first) and text hash and stored, since numbers must not
+    change between two readings.
+    """
+    if isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        ids = df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+        if ids.filter("n > 1 or id is null").isEmpty():
+            return df.withColumn(row, F.col(id_col).cast("long")), True
+    order = [F.col(id_col), F.xxhash64(text_col)]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumn(row, F.monotonically_increasing_id()), "numbered"), False
+
+
+def with_ids(rows: DataFrame, source: DataFrame, same: bool, id_col: str, row: str = "doc") -> DataFrame:
+    """``rows`` with the ids of ``source``, whose rows :func:`numbered` told apart, in place of ``row``."""
+    if same:
+        return rows.withColumn(row, F.col(row).cast(source.schema[id_col].dataType)).withColumnRenamed(row, id_col)
+    return rows.join(source.select(row, id_col), row).drop(row)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,8 @@ size; links of documents stay distributed.
 
 Defined results: null and word-free texts have no words and no hits; items of
 fewer words than a window are one window; repeated items each count under
-their item_id; empty tables give no items or no rows.
+their item_id; rows whose ids repeat or are null are judged each by its own text;
+empty tables give no items or no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelog.llm.common import maybe_in, small_batches, stored
+from tablelog.llm.common import maybe_in, numbered, small_batches, stored, with_ids
 
 WINDOW = 13
 #: Terms of each window that the intersection asks for.
@@ -218,19 +219,19 @@ def find_contamination(
 
     ``spans`` are lists of hit spans in words (per block of items), ``items``
     the sorted ids, as strings, of the items with an occurring window.
-    Ids of documents need to be distinct.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    source, same = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    docs = source.select("doc", "text")
     n_words, hits = None, None
     for block in _blocks(items, item_col, "text", block_words):
         n, h = _block_hits(docs, block, window, anchors)
         n_words, hits = n_words or n, h if hits is None else hits.union(h)
     if hits is None:
-        n_words = postings(docs, []).select("doc", F.col("pos").cast("long").alias("n_words"))
+        n_words = with_ids(postings(docs, []).select("doc", F.col("pos").cast("long").alias("n_words")), source, same, "id")
         none = F.array().cast("array<struct<from:int,to:int>>"), F.array().cast("array<string>")
         return n_words.select(
-            F.col("doc").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("spans"), none[1].alias("items")
+            F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("spans"), none[1].alias("items")
         )
     hits = hits.groupBy("doc").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -246,9 +247,9 @@ def find_contamination(
         ),
         lambda acc: acc["n"],
     )
-    out = n_words.join(hits.withColumn("n_hit", covered), "doc", "left")
+    out = with_ids(n_words.join(hits.withColumn("n_hit", covered), "doc", "left"), source, same, "id")
     return out.select(
-        F.col("doc").alias(id_col),
+        F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"),

@@ -19,12 +19,12 @@ too.  In the suffix tree of all texts these are the internal nodes of depth
 4. Nodes at neighbouring positions with the same owner join into maximal
    repeats.
 5. Names are verified: both ends of every repeat are digested from their texts
-   and compared.  A mismatch (two paths of one name) drops that repeat, and the
-   search runs again with other names for what it may have hidden.
+   and compared.  After a mismatch (two paths of one name) the search runs again
+   with other names.
 
-Defined results: null and empty texts have no words; a repeated row is no
-earlier document, and all rows of an id lose the same words (ids with several
-texts are not meant); windows are judged on the input, not on what is left; an
+Defined results: null and empty texts have no words; rows of one id are no earlier
+documents to each other, and each loses what rows of smaller ids hold; rows with a null
+id are kept whole; windows are judged on the input, not on what is left; an
 empty table gives no rows.
 """
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelog.llm.common import has_bit, key_bit, key_bitmap, maybe_in, small_batches, stored
+from tablelog.llm.common import drop_stored, has_bit, key_bit, key_bitmap, maybe_in, numbered, small_batches, stored, with_ids
 
 WINDOW = 13
 #: Prefix lengths in words; the last level is the window itself.
@@ -51,7 +51,7 @@ GROUP_SUFFIXES = 400_000
 #: Documents whose repeats are found within a task, before anything is sent.
 BATCH_ROWS = 256
 #: Searches with other names at most; each needs a mismatch of the one before.
-ROUNDS = 4
+ROUNDS = 8
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -364,18 +364,18 @@ def mismatches(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def verified_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, **options) -> DataFrame:
-    """:func:`repeats` whose words were compared; see the module's text."""
-    kept = None
+    """:func:`repeats` whose words were compared; see the module's text.
+
+    A search without a mismatch is whole: a name of two paths shows as a
+    mismatch wherever it gives a window the wrong owner.  Others are repeated with other names.
+    """
     for seed in range(rounds):
         runs = repeats(docs, window, seed, **options).withColumn("run", F.monotonically_increasing_id())
         runs = stored(runs, "substring-runs")
-        bad = mismatches(docs, runs)
-        none = not bad.agg(F.count("*")).first()[0]
-        good = runs if none else stored(runs.join(bad, "run", "left_anti"), "substring-verified")
-        kept = good if kept is None else kept.union(good)
-        if none:
-            break
-    return kept.drop("run")
+        if mismatches(docs, runs).isEmpty():
+            return runs.drop("run")
+        drop_stored(runs)
+    raise RuntimeError(f"{rounds} searches each met two paths of one name")
 
 
 def remove_repeats(
@@ -383,10 +383,17 @@ def remove_repeats(
 ) -> DataFrame:
     """(id, n_words, n_removed, kept): ``kept`` is the words that no repeat covers, joined by one space.
 
-    Ids are longs; rows with a null id are kept whole.
+    Ids are of any orderable type; rows with a null id are kept whole and own nothing.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    runs = verified_repeats(docs, window, **options)
+    source, same = numbered(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    docs = source.select("doc", "text")
+    if same:
+        runs = verified_repeats(docs, window, **options)
+    else:  # rows are told apart; those of the least id own a window, and lose nothing by it
+        runs = verified_repeats(source.filter("id IS NOT NULL").select("doc", "text"), window, **options)
+        ids = source.select("doc", "id")
+        runs = runs.join(ids, "doc").join(ids.select(F.col("doc").alias("owner"), F.col("id").alias("__of")), "owner")
+        runs = stored(runs.filter("id <> __of"), "substring-owned")
     asked = runs.select("doc", "start", "words", F.lit(0).cast("long").alias("run"))
     schema = "doc bigint, n_words bigint, n_removed bigint, kept string"
     names = ["doc", "n_words", "n_removed", "kept"]
@@ -404,21 +411,20 @@ def remove_repeats(
 
     def handle(rows) -> Iterator[pa.RecordBatch]:
         out: list = []
-        doc, texts = None, []  # rows of one id: more than one only if ids repeat
+        doc, words, removed = None, [], np.empty(0, dtype=bool)
         for d, kind, text, start, n, _ in rows:
             if kind == 0:
-                if d != doc or d is None:
-                    out += [cut(doc, *x) for x in texts]
-                    doc, texts = d, []
-                words = split(text)
-                texts.append((words, np.zeros(len(words), dtype=bool)))
-            elif d == doc:
-                for _, removed in texts:
-                    removed[start : start + n] = True
+                if doc is not None:
+                    out.append(cut(doc, words, removed))
+                doc, words = d, split(text)
+                removed = np.zeros(len(words), dtype=bool)
+            else:
+                removed[start : start + n] = True
             if len(out) >= 200:
                 yield batch(out)
                 out = []
-        out += [cut(doc, *x) for x in texts]
+        if doc is not None:
+            out.append(cut(doc, words, removed))
         if out:
             yield batch(out)
 
@@ -433,7 +439,7 @@ def remove_repeats(
     touched = key_bitmap(asked, "doc")
     untouched = docs.withColumn("bit", key_bit("doc")).mapInArrow(whole, schema)
     out = _walk_documents(docs, asked, handle, schema).union(untouched)
-    return out.withColumnRenamed("doc", id_col)
+    return with_ids(out, source, same, "id").withColumnRenamed("id", id_col).select(id_col, "n_words", "n_removed", "kept")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,12 @@ each candidate, its offset and the offset where its header says the next record
 begins.  From offset 0 of each file, pointer jumping keeps the candidates that
 the chain reaches; what lies between two of them is payload of the first.
 
-Defined results: a null payload is empty; rows need distinct ids; an empty
-table gives no archive and no rows.
+Versions 1.0 and 1.1 are read, also from gzip files (one split each).
+
+Defined results: a null payload is empty; a row with a null id is a response with
+its payload; repeated ids have a record for each row, and rows that tie for the
+largest id of a payload are all responses; an archive that doesn't begin with a record
+has none; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ from pyspark.sql import functions as F
 from tablelog.llm.common import shared_folder, small_batches, stored
 
 MAGIC = "WARC/1.1\r\n"
+#: What all versions begin with; the reader cuts here and looks at the rest.
+CUT = "WARC/1."
+VERSIONS = b"1\r\n", b"0\r\n"
 #: End of every record.
 GAP = "\r\n\r\n"
 #: Records of one archive file at most, so that one file's offsets stay few.
@@ -76,7 +83,7 @@ def write_warc(
         F.lit("\r\n"),
     )
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     record = F.concat(
         F.lit(MAGIC),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -100,45 +107,32 @@ def write_warc(
     out.write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", GAP).mode("overwrite").text(path)
 
 
-def _reachable(start: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Pointer jumping from offset 0: which candidates the chain of successors reaches."""
-    n = len(start)
-    place = np.searchsorted(start, after)
-    hop = np.where((place < n) & (start[np.minimum(place, n - 1)] == after), np.minimum(place, n - 1), n)
-    hop = np.append(hop, n)  # n: no record there
-    seen = np.zeros(n + 1, dtype=bool)
-    seen[0] = n > 0 and start[0] == 0
-    while True:  # after k rounds all within 2**k - 1 hops are seen
-        more = seen.copy()
-        more[hop[np.flatnonzero(seen)]] = True
-        if np.array_equal(more, seen) and (hop[hop] == hop).all():
-            return seen[:n]
-        seen, hop = more, hop[hop]
-
-
-#: Header fields that the reader returns.
+#: Header fields that the reader returns.  Numbers stay text until the end: pandas has no nullable ones by default.
 FIELDS = {
-    "type": rb"\r\nWARC-Type: *([^\r\n]*)",
-    "id": rb"\r\nWARC-Record-ID: *<urn:page:(-?\d+)>",
-    "refers_to": rb"\r\nWARC-Refers-To: *<urn:page:(-?\d+)>",
+    "id": rb"\r\nWARC-Record-ID: *<urn:page:(-?\d{1,18})>",
     "url": rb"\r\nWARC-Target-URI: *([^\r\n]*)",
+    "type": rb"\r\nWARC-Type: *([^\r\n]*)",
+    "refers_to": rb"\r\nWARC-Refers-To: *<urn:page:(-?\d{1,18})>",
+    "record_id": rb"\r\nWARC-Record-ID: *<([^>\r\n]*)>",
+    "stated": rb"\r\nWARC-Payload-Digest: *sha1:([^\r\n]*)",
 }
 LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r?\n?")
-CANDIDATES = (
-    "file string, block bigint, at bigint, size bigint, next bigint, whole boolean, type string, id bigint, "
-    "refers_to bigint, url string, payload_bytes bigint, digest string, payload binary"
-)
-RECORDS = "id bigint, url string, type string, refers_to bigint, payload_bytes bigint, digest string, payload binary"
-RECORD_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
-#: Of a record that spans pieces also where they are; else an empty list.
-CHAINED = f"{RECORDS}, file string, start bigint, next bigint, pieces array<struct<block:bigint,at:bigint>>"
+HEADER = [*FIELDS]
+_HEADER = ", ".join(f"{n} string" for n in HEADER)
 PIECE = "file", "block", "at"
+_PIECE = "file string, block bigint, at bigint"
+CANDIDATES = f"{_PIECE}, size bigint, next bigint, whole boolean, {_HEADER}, payload_bytes bigint, digest string, payload binary"
+RECORDS = f"{_HEADER}, payload_bytes bigint, digest string, payload binary"
+RECORD_NAMES = [*HEADER, "payload_bytes", "digest", "payload"]
+#: Records without payloads; of a record that spans pieces also where they are, else an empty list.
+CHAINED = f"{_HEADER}, payload_bytes bigint, digest string, {_PIECE}, start bigint, next bigint, pieces array<struct<block:bigint,at:bigint>>"
+CHAIN_NAMES = [*HEADER, "payload_bytes", "digest", *PIECE, "start", "next", "pieces"]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """The archives cut at every magic; (file, block) is a split, read in order by one task."""
     small_batches(spark)
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    return spark.read.option("lineSep", CUT).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("value"),
@@ -154,7 +148,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int,
             if split != (file, block):
                 split, at = (file, block), 0
             rows.append((file, block, at, piece))
-            at += len(piece) + len(MAGIC)
+            at += len(piece) + len(CUT)
         yield rows
 
 
@@ -176,10 +170,10 @@ def _described(piece: bytes, keep: bool) -> dict:
     out: dict = {"next": -1, "whole": False, "payload_bytes": None, "digest": None, "payload": None}
     for name, pattern in FIELDS.items():
         m = re.search(pattern, head)
-        out[name] = m and (int(m[1]) if name in ("id", "refers_to") else m[1].decode("utf-8", "replace"))
-    if gap and (m := LENGTH.search(head)) and len(m[1]) < 19:
+        out[name] = m and m[1].decode("utf-8", "replace")
+    if gap and piece.startswith(VERSIONS) and (m := LENGTH.search(head)) and len(m[1]) < 19:
         length = int(m[1])
-        out["next"] = len(MAGIC) + len(piece) - len(rest) + length + len(GAP)
+        out["next"] = len(CUT) + len(piece) - len(rest) + length + len(GAP)
         if length + len(GAP) == len(rest):
             out |= {"whole": True} | _payload_columns(out["type"], rest[:length], keep)
     return out
@@ -216,18 +210,17 @@ def reachable(start: np.ndarray, after: np.ndarray) -> np.ndarray:
             return seen[:n]
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Absolute offsets and reachable records of one file."""
-    names = [*RECORD_NAMES, "file", "start", "next", "pieces"]
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """Absolute offsets and reachable records of one file, None if it doesn't begin with a record."""
     pdf = pdf.sort_values(["block", "at"], kind="stable", ignore_index=True)
     size = pdf["size"].to_numpy()
     # the first piece is what stands before the first magic; each later one follows its own
-    start = np.r_[0, np.cumsum(size + len(MAGIC))[:-1]][1:] - len(MAGIC)
+    start = np.r_[0, np.cumsum(size + len(CUT))[:-1]][1:] - len(CUT)
     pdf = pdf[1:].reset_index(drop=True)
     if not len(pdf) or size[0]:
-        return pd.DataFrame({n: [] for n in names})
+        return None
     kept = reachable(start, np.where(pdf["next"] >= 0, start + pdf["next"].to_numpy(), -1))
-    end = np.r_[start[1:], start[-1] + len(MAGIC) + size[-1]]
+    end = np.r_[start[1:], start[-1] + len(CUT) + size[-1]]
     kept &= pdf["next"].to_numpy() >= 0
     owner = np.maximum.accumulate(np.where(kept, np.arange(len(kept)), -1))
     out = pdf[kept].assign(start=start[kept])
@@ -238,43 +231,68 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         [] if w else [{"block": b, "at": a} for b, a in zip(pdf["block"][i:j].tolist(), pdf["at"][i:j].tolist())]
         for w, i, j in zip(out["whole"], first, last)
     ]
-    return out.loc[~out["cut"], names]
+    return out.loc[~out["cut"], CHAIN_NAMES]
 
 
 def _joined(pdf: pd.DataFrame, keep: bool) -> pd.DataFrame:
     """One record whose payload holds magic, from its pieces."""
     pdf = pdf.sort_values(["block", "at"], kind="stable", ignore_index=True)
-    record = MAGIC.encode() + MAGIC.encode().join(pdf["value"])
+    record = CUT.encode() + CUT.encode().join(pdf["value"])
     head, _, rest = record.partition(GAP.encode())
     length = int(pdf["next"][0]) - len(head) - 2 * len(GAP)
-    out = pdf.loc[:0, ["id", "url", "type", "refers_to"]].assign(payload_bytes=None, digest=None, payload=None)
+    out = pdf.loc[:0, HEADER].assign(payload_bytes=None, digest=None, payload=None)
     for name, value in _payload_columns(pdf["type"][0], rest[:length], keep).items():
         out[name] = pd.Series([value], dtype=object)
     return out[RECORD_NAMES]
 
 
+def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """:func:`_chain` of each file of sorted candidates; a file's offsets and headers are held, its payloads are not."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        for file, rows in b.groupby("file", sort=False):
+            if held and held[0]["file"].iloc[0] != file:
+                out = _chain(pd.concat(held, ignore_index=True))
+                held = []
+                if out is not None:
+                    yield out
+            held.append(rows)
+    out = _chain(pd.concat(held, ignore_index=True)) if held else None
+    if out is not None:
+        yield out
+
+
 def read_warc(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
-    """(id, url, type, refers_to, payload_bytes, digest, payload) of every record that a chain from offset 0 reaches.
+    """(id, url, type, refers_to, record_id, stated, payload_bytes, digest, payload) of every record that a chain from offset 0 reaches.
 
-    Sizes and digests are of the bytes read; a revisit has none.  Without
-    ``keep`` payloads are null and none is moved, but for those that hold magic.
+    ``id`` and ``refers_to`` are the numbers of this module's own archives, null in others; ``record_id``
+    and ``stated`` are the record's id and payload digest as its header has them.  Sizes and digests
+    are of the bytes read; a revisit has none.  Without ``keep`` payloads are null and none is
+    moved, but for those that hold magic.
     """
-    found = stored(candidates(spark, path, keep).groupBy("file").applyInPandas(_chain, CHAINED), "warc-chain")
-    out = found.filter(F.size("pieces") == 0).select(*RECORD_NAMES)
+    placed = candidates(spark, path, False).drop("payload").repartition("file").sortWithinPartitions("file", "block", "at")
+    found = stored(placed.mapInPandas(_chains, CHAINED), "warc-chain")
+    numbers = {n: F.col(n).cast("long") for n in ("id", "refers_to")}
+    out = found.filter(F.size("pieces") == 0)
+    if keep:
+        payloads = candidates(spark, path, True).filter("whole").select(*PIECE, "payload")
+        out = out.join(payloads, [*PIECE])
+    else:
+        out = out.withColumn("payload", F.lit(None).cast("binary"))
+    out = out.select(*RECORD_NAMES)
     spanning = found.filter(F.size("pieces") > 0)
     if spanning.isEmpty():
-        return out
+        return out.withColumns(numbers)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _placed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[*PIECE, "value"])
 
-    wanted = spanning.select(
-        "id", "url", "type", "refers_to", "file", "start", "next", F.explode("pieces").alias("p")
-    ).select("*", "p.block", "p.at").drop("p")
+    wanted = spanning.select(*HEADER, "file", "start", "next", F.explode("pieces").alias("p"))
+    wanted = wanted.select("*", "p.block", "p.at").drop("p")
     again = _pieces(spark, path).mapInArrow(pieces, "file string, block bigint, at bigint, value binary")
     rows = again.join(wanted, [*PIECE])
-    return out.union(rows.groupBy("file", "start").applyInPandas(lambda pdf: _joined(pdf, keep), RECORDS))
+    return out.union(rows.groupBy("file", "start").applyInPandas(lambda pdf: _joined(pdf, keep), RECORDS)).withColumns(numbers)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +304,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
     )
-    again = records.filter("type = 'revisit'").select(F.col("id").alias("again_id"), F.col("refers_to").alias("page_id"))
-    again = again.join(first.drop("refers_to", "record_type"), "page_id").select(
+    again = records.filter("type = 'revisit'")
+    again = again.select(F.col("id").alias("again_id"), F.col("refers_to").alias("page_id"), F.col("stated").alias("payload_digest"))
+    known = first.drop("refers_to", "record_type").distinct()
+    again = again.join(known, ["page_id", "payload_digest"]).select(
         F.col("again_id").alias("page_id"), "payload_bytes", "payload_digest",
         F.lit("revisit").alias("record_type"), F.col("page_id").alias("refers_to"),
     )
