@@ -5,12 +5,11 @@ sequence are cut from their end into full pieces, so only the first piece may be
 shorter.  What matters for packing is how many pieces there are of each length:
 a histogram of at most ``capacity`` entries, whatever the size of the corpus.
 
-``complete_bins`` packs the histogram.  Around the largest piece left it
-enumerates the fillings of the rest of the bin that no other filling dominates,
-best fit first; a bound on the waste that a branch can still reach prunes it.
-The filling is used for as many bins as the counts allow, so there are few
-distinct fillings.  A best-fit-decreasing packing of the histogram is the first
-incumbent, and the better of the two is kept.
+``complete_bins`` packs the histogram by branch and bound.  Around the largest
+piece left it enumerates the fillings of the rest of the bin that no other
+filling dominates, least waste first, follows each, and turns back where the
+waste leaves no better packing than the incumbent; the first incumbent is
+best-fit decreasing, and a lower bound of the bins ends the search.
 
 Each piece is then ranked among the pieces of its length and reads its place
 off the (length, rank) ranges that the fillings give out.
@@ -22,10 +21,12 @@ packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,12 @@ from tablelog.llm.common import small_batches, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Search nodes for one bin before the best filling so far is taken.
-NODES = 20_000
-#: Pieces of one length are ranked in parts of about this many.
-PART_ROWS = 10_000
+#: Search nodes of a packing; the best packing so far is taken when they are used up.
+NODES = 200_000
+#: Pieces up to which bins are branched on one by one, and ways tried at a node of more.
+SINGLE, BRANCHES = 400, 4
+#: Pieces of one length are ranked in parts of about this many, in so many parts at most.
+PART_ROWS, PARTS = 10_000, 4096
 
 
 # -- tokens ------------------------------------------------------------------
@@ -169,65 +172,143 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return done + [(content, n) for (_, content), n in bins.items()]
 
 
-def _completion(first: int, lengths: list[int], left: dict[int, int], capacity: int, nodes: int) -> tuple[int, ...]:
-    """The filling around ``first`` that wastes least, of the undominated ones; ties keep the larger pieces.
+def _bits(lengths) -> int:
+    return sum(1 << n for n in lengths)
 
-    ``lengths`` is sorted from the largest.  Trying larger pieces first makes
-    the first leaf the best-fit filling, which is the incumbent; a branch ends
-    when the smallest piece doesn't fit, or when all that is left of the smaller
-    lengths can't beat the incumbent's waste.
-    """
-    best, least = (), capacity - first
-    budget = nodes
-    total = sum(n * c for n, c in left.items())
-
-    def extend(at: int, space: int, chosen: tuple[int, ...], rest: int) -> None:
-        nonlocal best, least, budget
-        if space < least:
-            best, least = chosen, space
-        for k in range(at, len(lengths)):
-            if not least or budget <= 0 or space - rest >= least:
-                return
-            length = lengths[k]
-            own = length * left[length]
-            fit = min(left[length], space // length)
-            # fewer of this length leave room only for smaller ones: dominated unless they fill better
-            for n in range(fit, 0, -1):
-                budget -= 1
-                extend(k + 1, space - n * length, chosen + (length,) * n, rest - own)
-                if not least or budget <= 0:
-                    return
-            rest -= own
 
-    extend(0, capacity - first, (), total)
-    return best
+def _smeared(bits: int, steps: int) -> int:
+    """``bits`` and their shifts by 1 to ``steps``."""
+    done = 0
+    while done < steps:
+        by = min(done + 1, steps - done)
+        bits |= bits << by
+        done += by
+    return bits
+
 
+def dominated(filling: tuple[int, ...], spare: int, others: int) -> bool:
+    """Whether one of ``others`` (bits of lengths not in the bin) can take the place of some of ``filling``.
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion on a histogram: [(lengths of a bin, number of such bins)]."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    out = []
-    while left:
-        first = max(left)
-        left[first] -= 1
-        if not left[first]:
-            del left[first]
-        space = capacity - first
+    A piece x that is as long as some pieces together, or longer by no more than
+    the space they leave, does no worse in their place: what it frees fits
+    wherever x stood (Martello and Toth's dominance for one piece).  No piece in
+    place of none means that the filling isn't full.
+    """
+    if others & ((1 << (spare + 1)) - 1):
+        return True
+    one = more = 0  # sums of one piece, of two or more
+    for n in filling:
+        more |= (more | one) << n
+        one |= 1 << n
+    if _smeared(more, spare) & others:
+        return True
+    return bool(spare and _smeared(one << 1, spare - 1) & others)
+
+
+class _Search:
+    """Depth-first bin completion of a histogram; see :func:`complete_bins`."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int):
+        self.left = {n: c for n, c in counts.items() if c > 0}
+        self.capacity, self.budget = capacity, nodes
+
+    def fillings(self, first: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Undominated fillings around ``first`` that waste at most ``most``, in bands of growing waste."""
+        left, space = self.left, self.capacity - first
         lengths = sorted((n for n in left if n <= space), reverse=True)
-        usable = {n: min(left[n], space // n) for n in lengths}
-        bin_ = (first, *_completion(first, lengths, usable, capacity, nodes))
-        use = Counter(bin_)
-        times = min((left.get(n, 0) + (n == first)) // c for n, c in use.items())
-        for n, c in use.items():
-            now = left.get(n, 0) + (n == first) - c * times
-            if now:
-                left[n] = now
+        usable = [min(left[n], space // n) for n in lengths]
+        rest = [0] * (len(lengths) + 1)
+        for k in range(len(lengths) - 1, -1, -1):
+            rest[k] = rest[k + 1] + lengths[k] * usable[k]
+        all_bits = _bits(lengths)
+
+        def extend(at: int, room: int, chosen: tuple[int, ...], others: int, least: int, most: int):
+            if least <= room <= most and not dominated(chosen, room, others):
+                yield (first, *chosen)
+            for k in range(at, len(lengths)):
+                if self.budget <= 0 or room - rest[k] > most:
+                    return
+                n = lengths[k]
+                for times in range(min(usable[k], room // n), 0, -1):
+                    self.budget -= 1
+                    now = others & ~(1 << n) if times == left[n] else others
+                    yield from extend(k + 1, room - times * n, chosen + (n,) * times, now, least, most)
+
+        least, upto = 0, 0
+        while least <= most:
+            yield from extend(0, space, (), all_bits, least, min(upto, most))
+            least, upto = upto + 1, 4 * upto + 3
+
+    def take(self, filling: tuple[int, ...], times: int) -> None:
+        for n, c in Counter(filling).items():
+            self.left[n] = self.left.get(n, 0) - c * times
+            if not self.left[n]:
+                del self.left[n]
+
+    def better(self, best: list, bound: int) -> tuple[list, bool]:
+        """(best packing found, whether the search was whole)."""
+        total = sum(n * c for n, c in self.left.items())
+        pieces = sum(self.left.values())
+        n_best = sum(n for _, n in best)
+        path: list[tuple[tuple[int, ...], int]] = []
+        used = waste = 0
+        whole = True
+
+        def open_node():
+            first = max(self.left)
+            self.take((first,), 1)
+            out = first, list(self.fillings_limited(first, (n_best - 1) * self.capacity - total - waste, pieces))
+            self.take((first,), -1)
+            return iter(out[1])
+
+        stack = [open_node()] if self.left else []
+        while stack and n_best > bound:
+            filling = next(stack[-1], None)
+            if filling is None:
+                stack.pop()
+                if path:
+                    f, times = path.pop()
+                    self.take(f, -times)
+                    used, waste, pieces = used - times, waste - times * (self.capacity - sum(f)), pieces + times * len(f)
+                continue
+            times = 1
+            if pieces > SINGLE:  # too many to branch on each bin
+                whole = False
+                times = min(self.left[n] // c for n, c in Counter(filling).items())
+            lost = times * (self.capacity - sum(filling))
+            if waste + lost > (n_best - 1) * self.capacity - total:
+                continue
+            self.take(filling, times)
+            path.append((filling, times))
+            used, waste, pieces = used + times, waste + lost, pieces - times * len(filling)
+            if not self.left:
+                best, n_best = list(path), used
+                stack.append(iter(()))
             else:
-                left.pop(n, None)
-        out.append((bin_, times))
-    incumbent = best_fit(counts, capacity)
-    bins = lambda x: sum(n for _, n in x)
-    return min(out, incumbent, key=bins)
+                stack.append(open_node())
+        return best, n_best <= bound or (whole and self.budget > 0)
+
+    def fillings_limited(self, first: int, most: int, pieces: int) -> Iterator[tuple[int, ...]]:
+        """All fillings of a small instance; of a large one the ``BRANCHES`` first, so that a node costs little."""
+        return islice(self.fillings(first, most), None if pieces <= SINGLE else BRANCHES)
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """([(lengths of a bin, number of such bins)], whether no packing has fewer bins).
+
+    Branch and bound: the bin of the largest piece left is filled in every
+    undominated way, least waste first, and each way is followed to the end
+    unless its waste, together with that of the bins before, leaves no packing better than
+    the best one.  Best-fit decreasing is the first of those; ``lower_bound`` ends
+    the search.  Up to ``SINGLE`` pieces bins are branched on one by one and the
+    result is optimal if ``nodes`` suffice; of more pieces a filling is used as often
+    as counts allow, with ``BRANCHES`` ways at each node.
+    """
+    best = best_fit(counts, capacity)
+    bound = lower_bound(counts, capacity)
+    if sum(n for _, n in best) <= bound:
+        return best, True
+    return _Search(counts, capacity, nodes).better(best, bound)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -244,15 +325,15 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def ranges(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) for each place of each filling."""
+def ranges(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, number of it in a bin, first sequence, offset) for each length of each filling."""
     out, used, base = [], Counter(), 0
     for content, times in bins:
         offset = 0
-        for length in sorted(content, reverse=True):
-            out.append((length, used[length], used[length] + times, base, offset))
-            used[length] += times
-            offset += length
+        for length, c in sorted(Counter(content).items(), reverse=True):
+            out.append((length, used[length], used[length] + c * times, c, base, offset))
+            used[length] += c * times
+            offset += c * length
         base += times
     return out
 
@@ -260,6 +341,11 @@ def ranges(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 # -- documents ---------------------------------------------------------------
 
 
+def most_ranges(capacity: int) -> int:
+    """Rows of :func:`ranges` for which a broadcast is right; see :func:`pack_pieces`."""
+    return 3 * capacity * math.isqrt(2 * capacity) + SINGLE
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
@@ -269,25 +355,28 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
     """
     spark = pieces.sparkSession
     total = pieces.count()
-    parts = max(1, total // PART_ROWS)
+    parts = min(max(1, total // PART_ROWS), PARTS)
     keyed = pieces.withColumn("__part", F.pmod(F.xxhash64(pieces.columns[0], "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     by_part = keyed.groupBy("length", "__part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
     by_part = stored(by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-parts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(
-        ranges(complete_bins(counts, capacity, nodes)) or [(0, 0, 0, 0, 0)],
-        "__length long, __from long, __to long, __sequence long, __offset long",
-    )
+    bins, _ = complete_bins(counts, capacity, nodes)
+    rows = ranges(bins) or [(0, 0, 0, 1, 0, 0)]
+    places = spark.createDataFrame(rows, "__length long, __from long, __to long, __times long, __sequence long, __offset long")
+    # Each step of a packing uses up a length or a kind of bin, of which best fit opens at most two for a length, and
+    # a bin has at most sqrt(2 capacity) lengths: so many rows, whatever the number of pieces.
+    if len(rows) <= most_ranges(capacity):
+        places = F.broadcast(places)
     own = Window.partitionBy("length", "__part").orderBy(pieces.columns[0], "piece")
     ranked = keyed.withColumn("__own", F.row_number().over(own) - 1).join(by_part.drop("n"), ["length", "__part"])
     ranked = ranked.withColumn("__rank", F.col("before") + F.col("__own"))
     fits = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
-    # at most one range for each length and place of a filling: bounded by the capacity, not by the corpus
-    return ranked.join(F.broadcast(places), fits).select(
+    at = F.col("__rank") - F.col("__from")
+    return ranked.join(places, fits).select(
         *pieces.columns,
-        (F.col("__sequence") + F.col("__rank") - F.col("__from")).alias("sequence_id"),
-        F.col("__offset").alias("offset"),
+        (F.col("__sequence") + F.floor(at / F.col("__times"))).alias("sequence_id"),
+        (F.col("__offset") + at % F.col("__times") * F.col("length")).alias("offset"),
     )
 
 

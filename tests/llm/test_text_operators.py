@@ -1,5 +1,6 @@
 """Quality rules, secrets, licenses, the classifier, and packing, against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -120,8 +121,6 @@ def test_patience_pairs_increase(a, b):
 
 
 def test_classifier_on_held_out_rows(spark, none):
-    import random
-
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "small", "river", "runs", "down", "hill", "and", "stone,", "fields."]) + rng.choice("abcde") for _ in range(60))
     bad = lambda: " ".join(rng.choice(["###", "BUY!!", "NOW!!", "$$$", "|", "BUY!!"]) for _ in range(60))
@@ -142,18 +141,67 @@ def test_classifier_on_held_out_rows(spark, none):
     assert [r[0] for r in no_labels] == [0.5]
 
 
-def test_nonnegative_risk_steps_back():
-    rng = np.random.default_rng(0)
-    x = np.c_[np.ones(30), rng.normal(size=(30, 20))]
-    p, u = x[:10].T @ x[:10] / 10, x[10:].T @ x[10:] / 20
-    w = quality_classifier.fit(p, u, 0.9, 1e-6)
-    assert np.isfinite(w).all()
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.floats(0.05, 0.95), st.sampled_from([1e-6, 1e-3, 0.1]), st.integers(2, 40))
+def test_fit_minimises_the_nonnegative_risk(seed, prior, ridge, n):
+    """Few rows of many features: the negatives' part goes below 0, where a plain solution overfits."""
+    rng = np.random.default_rng(seed)
+    pos, unl = (np.c_[np.ones(k), rng.normal(size=(k, 8))] for k in (n, 2 * n))
+    p, u = pos.T @ pos / len(pos), unl.T @ unl / len(unl)
+    w = quality_classifier.fit(p, u, prior, ridge)
+    least, _ = quality_classifier.risk(w, p, u, prior, ridge)
+    # the same number from the rows
+    part = ((1 + unl @ w) ** 2).mean() / 4 - prior * ((1 + pos @ w) ** 2).mean() / 4
+    assert abs(least - (prior * ((1 - pos @ w) ** 2).mean() / 4 + max(0, part) + ridge * w @ w / 4)) < 1e-8
+    assert least <= quality_classifier.risk(np.zeros(9), p, u, prior, ridge)[0] + 1e-12
+    for scale in (1e-3, 1e-2, 0.1, 1):
+        for step in rng.normal(size=(40, 9)) * scale:
+            assert quality_classifier.risk(w + step, p, u, prior, ridge)[0] >= least - 1e-9
+
+
+def test_classifier_is_its_definition(spark):
+    """Scores from all rows in one place: features, halves, prior and fit; rows that repeat, clashing columns, two labels."""
+    q = quality_classifier
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(["stone", "river,", "hill", "runs", "A", "$$$", "BUY!!"][(k % 5 > 3) * 3 :]) for _ in range(rng.randint(1, 80)))
+    data = [(k, text(k)) for k in range(150)] + [(200, None), (201, "")]
+    data += data[:20]
+    labels = [(k, int(k % 5 < 4)) for k in range(0, 150, 2)] + [(4, 1), (6, None), (300, 1)]
+    docs = spark.createDataFrame([(k, t, "c", 1.0) for k, t in data], "doc_id long, text string, x string, held_out double")
+    got = sorted((r["doc_id"], r["score"]) for r in q.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    x = {k: q.features(t).astype(float) for k, t in data}
+    half = dict(spark.createDataFrame([(k,) for k in x], "id long").selectExpr("id", "xxhash64(id) & 1").collect())
+    unl = [k for k, _ in data if not held(k)]
+    pos = [k for k, y in labels if y == 1 and not held(k) for j, _ in data if j == k]
+    moment = lambda ks: sum(np.outer(x[k], x[k]) for k in ks) / len(ks)
+    ridge = max(q.RIDGE, 2 / len(unl))
+    counts = np.zeros((2, q.BINS), np.int64)
+    for h in (0, 1):
+        tells = q.telling(moment([k for k in pos if half[k] != h]), moment([k for k in unl if half[k] != h]), ridge)
+        for n, ks in enumerate((pos, unl)):
+            for k in ks:
+                if half[k] == h:
+                    counts[n][q._binned(x[k][None], tells)[0]] += 1
+    w = q.fit(moment(pos), moment(unl), q.prior_of(*counts), ridge)
+    expected = sorted((k, min(1.0, max(0.0, (x[k] @ w + 1) / 2))) for k, _ in data)
+    assert [k for k, _ in got] == [k for k, _ in expected]
+    assert np.allclose([s for _, s in got], [s for _, s in expected], atol=1e-6)
+
+
+def test_prior_of_mixtures():
+    """Histograms of a mixture: a share of positives at high scores, the rest below."""
+    bins = np.arange(quality_classifier.BINS)
+    one, zero = (np.exp(-(((bins - m) / 100) ** 2) / 2) for m in (1300, 700))
+    for prior in (0.05, 0.3, 0.86):
+        counts = [np.rint(1e6 * x / x.sum()).astype(np.int64) for x in (one, prior * one + (1 - prior) * zero)]
+        assert abs(quality_classifier.prior_of(*counts) - prior) < 0.02
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_bins_hold_all_pieces(counts_):
-    bins = packing.complete_bins(counts_, 64)
+    bins, _ = packing.complete_bins(counts_, 64)
     used = Counter()
     for content, times in bins:
         assert sum(content) <= 64 and times > 0
@@ -180,7 +228,6 @@ def packed(out, capacity):
 def test_packing(docs, rows, none, repeated):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out = packing.pack_documents(docs, path, capacity=128).collect()
     expected = {}
     for k, t in rows:
@@ -203,7 +250,6 @@ def test_packing(docs, rows, none, repeated):
 def test_fast_tokens_are_the_tokenizers(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     assert packing._encoder(path)(text) == tok.encode(text, add_special_tokens=False).ids
 
 
@@ -222,6 +268,46 @@ def test_packing_of_added_tokens(spark):
     assert (row["ids"], row["length"], row["ids_crc32"]) == (ids, 5, zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def fewest_bins(items, capacity):
+    """Least bins by dynamic programming over subsets: (bins, filled of the last)."""
+    best = [(1, 0)] + [(len(items) + 1, 0)] * ((1 << len(items)) - 1)
+    for m, (bins, filled) in enumerate(best):
+        for i, n in enumerate(items):
+            if not m >> i & 1:
+                best[m | 1 << i] = min(best[m | 1 << i], (bins, filled + n) if filled + n <= capacity else (bins + 1, n))
+    return best[-1][0]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=10), st.sampled_from([1, 2, 3]))
+def test_packing_is_optimal_on_small_instances(items, parts):
+    items = [-(-n // parts) for n in items]
+    bins, proven = packing.complete_bins(Counter(items), 64)
+    assert proven and sum(t for _, t in bins) == fewest_bins(items, 64)
+    assert sum((Counter({k: c * t for k, c in Counter(f).items()}) for f, t in bins), Counter()) == Counter(items)
+
+
+def test_packing_branches_on_bins():
+    """Cases that best fit, and one least-waste filling after another, get wrong."""
+    for capacity, items in ((64, (11, 12, 12, 16, 18, 21, 27, 27, 27, 34, 44)), (1024, (192, 217, 229, 281, 306, 352, 480, 489, 526))):
+        bins, proven = packing.complete_bins(Counter(items), capacity)
+        assert proven and sum(t for _, t in bins) == fewest_bins(items, capacity) < sum(t for _, t in packing.best_fit(Counter(items), capacity)) + (capacity == 64)
+
+
+@pytest.mark.parametrize("hot", [0, 30_000])
+def test_ranges_are_few(hot):
+    rng = random.Random(4)
+    counts_ = Counter(rng.randint(1, 1024) for _ in range(40_000)) + Counter({7: hot, 1024: hot})
+    bins, _ = packing.complete_bins(counts_, 1024)
+    rows = packing.ranges(bins)
+    assert len(rows) <= packing.most_ranges(1024)
+    ends = Counter()
+    for length, start, end, times, _, offset in sorted(rows):
+        assert start == ends[length] and (end - start) % times == 0 and offset + times * length <= 1024
+        ends[length] = end
+    assert ends == counts_
+
+
 @pytest.mark.parametrize("length", [1, 1023, 1024, 1025, 2048, 2049, 5000])
 def test_cut(length):
     pieces = packing.cut(length, 1024)
