@@ -1,21 +1,28 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the rows labelled 1; every document is unlabelled web
-text.  The non-negative unbiased risk (Kiryo et al., 2017) of a linear score g
-with squared loss, for a class prior p, is
+text; no negative label is used.  The non-negative unbiased risk (Kiryo et al.,
+2017) of a linear score g with squared loss, for a class prior p, is
 
     p E_pos[(1 - g)^2]/4 + max(0, E_unl[(1 + g)^2]/4 - p E_pos[(1 + g)^2]/4).
 
-It depends on the data through the first and second moments of the features
-only, so the fit uses all rows and the driver holds two small matrices.
+With a ridge it is the larger of two convex quadratic forms, so ``fit`` finds its
+minimum exactly.  It depends on the data through the first and second moments of
+the features only: all rows count, and the driver holds two small matrices.
 Positives may be bounded by ``max_labelled`` (none by default).
 
+The prior is estimated from positives and unlabelled text: for any set S of texts
+P_unl(S) / P_pos(S) is the prior or more, and equal where S holds no
+negatives (Blanchard et al., 2010).  The sets tried are the upper ends of a
+score that tells positives from unlabelled text, fitted on the other half of the
+rows, and hold at least half of the positives.
+
 Only rows of the training folds, crc32(id as text) mod 3 other than 1, give
-labels or moments.  The class prior is the share of 1 among their labels.
+labels, moments or the prior.
 
 Defined results: null and empty texts have the features of no words and a score;
-without any positive every score is the prior's (0.5 without labels); several
-labels of an id count each; an empty table gives no rows.
+without any positive every score is 0.5; several labels of an id count each; rows
+that repeat are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +42,10 @@ from tablelog.llm.common import small_batches, stored
 FOLDS, HELD_OUT = 3, 1
 #: Least ridge; 2 / rows where that is more.
 RIDGE = 1e-4
+#: Buckets of hashed words, and the weight of their features beside the shares.
+WORD_BUCKETS, WORD_WEIGHT = 128, 0.5
+#: Bins of the score's histogram for the prior, over -4 to 4.
+BINS = 2000
 #: Steps of every share: x, its root, and where it exceeds these.
 STEPS = (0.01, 0.03, 0.1, 0.3)
 #: Byte classes that are counted.
@@ -41,15 +53,12 @@ _LOWER, _UPPER, _DIGIT = range(97, 123), range(65, 91), range(48, 58)
 _OTHER = [b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?"]
 
 
-def shares(text: str | None) -> np.ndarray:
-    """Shares from 0 to 1 that describe a whole text."""
-    data = (text or "").encode()
-    w = data.split()
+def shares(data: bytes, w: list[bytes], seen: Counter) -> np.ndarray:
+    """Shares from 0 to 1 that describe the form of a whole text."""
     n = max(1, len(w))
     count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     solid = max(1, len(data) - int(count[9:14].sum()) - int(count[32]))
     lower, upper, other = (int(count[list(x)].sum()) for x in (_LOWER, _UPPER, _OTHER))
-    seen = Counter(w)
     lines = [x for x in data.split(b"\n") if x.strip()]
     lengths = np.fromiter(map(len, w), np.int64, len(w))
     windows = Counter(zip(w, w[1:], w[2:], w[3:]))
@@ -77,10 +86,23 @@ def shares(text: str | None) -> np.ndarray:
     )
 
 
+def content(seen: Counter) -> np.ndarray:
+    """What a text says: its words in hash buckets, as a vector of length ``WORD_WEIGHT`` (0 without words)."""
+    h = np.fromiter((xxhash.xxh64_intdigest(x) for x in seen), np.uint64, len(seen))
+    weight = np.log1p(np.fromiter(seen.values(), np.float64, len(seen)))
+    sign = np.where(h >> np.uint64(63), weight, -weight)
+    out = np.bincount((h % np.uint64(WORD_BUCKETS)).astype(np.int64), weights=sign, minlength=WORD_BUCKETS)
+    return WORD_WEIGHT * out / max(1e-9, float(np.linalg.norm(out)))
+
+
 def features(text: str | None) -> np.ndarray:
-    """1, then each share, its root and its steps."""
-    x = np.clip(shares(text), 0, 1)
-    return np.concatenate([[1.0], x, np.sqrt(x), *[(x > s).astype(float) for s in STEPS]]).astype(np.float32)
+    """1, each share, its root and its steps, and the hashed words."""
+    data = (text or "").encode()
+    w = data.split()
+    seen = Counter(w)
+    x = np.clip(shares(data, w, seen), 0, 1)
+    words = content(Counter(x.strip(b".,;:!?()\"'").lower() for x in w) if w else seen)
+    return np.concatenate([[1.0], x, np.sqrt(x), *[(x > s).astype(float) for s in STEPS], words]).astype(np.float32)
 
 
 SIZE = len(features(""))
@@ -90,13 +112,17 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("x").flatten().to_numpy().reshape(-1, SIZE).astype(np.float64)
+
+
 def _moments(rows: DataFrame) -> tuple[float, np.ndarray]:
     """(rows, mean outer product of the features); the first row of it is the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros((SIZE, SIZE))
         for b in batches:
-            x = b.column("x").flatten().to_numpy().reshape(-1, SIZE).astype(np.float64)
+            x = _matrix(b)
             total += x.T @ x
             n += len(x)
         if n:
@@ -109,24 +135,74 @@ def _moments(rows: DataFrame) -> tuple[float, np.ndarray]:
     return n, all_[:-1].reshape(SIZE, SIZE) / max(1.0, n)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = RIDGE, steps: int = 300) -> np.ndarray:
-    """Weights that minimise the non-negative risk, from the two moment matrices."""
-    mean_p, mean_u = positive[0], unlabelled[0]
-    inner = unlabelled + ridge * np.eye(len(unlabelled))
-    quad = lambda m, mean, w, sign: (1 + 2 * sign * mean @ w + w @ m @ w) / 4
-    negative = lambda w: quad(unlabelled, mean_u, w, 1) - prior * quad(positive, mean_p, w, 1)
-    risk = lambda w: prior * quad(positive, mean_p, w, -1) + max(0.0, negative(w)) + ridge * w @ w / 4
-    w = np.linalg.solve(inner, 2 * prior * mean_p - mean_u)  # the minimum while the negative part is not below 0
-    best, least = w, risk(w)
-    for _ in range(steps):
-        if negative(w) >= 0:
-            slope = -prior * mean_p + (mean_u + unlabelled @ w) / 2 + ridge * w / 2
-        else:  # the negative part is overfitted: step back up its slope
-            slope = -((mean_u + unlabelled @ w) - prior * (mean_p + positive @ w)) / 2
-        w = w - 0.1 * np.linalg.solve(inner, slope)
-        if risk(w) < least:
-            best, least = w, risk(w)
-    return best
+def _together(a: tuple[float, np.ndarray], b: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
+    n = a[0] + b[0]
+    return n, (a[0] * a[1] + b[0] * b[1]) / max(1.0, n)
+
+
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float) -> tuple[float, float]:
+    """(non-negative risk with ridge, its part of the negatives before it is cut at 0), from the moment matrices."""
+    quad = lambda m, sign: (1 + 2 * sign * m[0] @ w + w @ m @ w) / 4
+    negative = quad(unlabelled, 1) - prior * quad(positive, 1)
+    return prior * quad(positive, -1) + max(0.0, negative) + ridge * w @ w / 4, negative
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that minimise the non-negative risk, from the two moment matrices.
+
+    The risk is max(A, B): A counts the negatives' part as it is, B as 0.  Both are
+    convex, so the minimum of some A + (1 - share) B, share from 0 to 1, is that of
+    max(A, B).  The negatives' part falls as the share grows; at its zero, or at the
+    end it doesn't cross, lies the minimum.
+    """
+    eye = ridge * np.eye(len(positive))
+
+    def at(share: float) -> np.ndarray:
+        inner = share * unlabelled + (1 - share) * prior * positive + eye
+        return np.linalg.solve(inner, (1 + share) * prior * positive[0] - share * unlabelled[0])
+
+    part = lambda w: risk(w, positive, unlabelled, prior, ridge)[1]
+    if part(at(1.0)) >= 0:
+        return at(1.0)
+    if part(at(0.0)) <= 0:
+        return at(0.0)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if part(at(middle)) > 0 else (low, middle)
+    return min(at(low), at(high), key=lambda w: risk(w, positive, unlabelled, prior, ridge)[0])
+
+
+def telling(positive: np.ndarray, unlabelled: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of the least-squares score that is 1 for positives and -1 for unlabelled text."""
+    return np.linalg.solve(positive + unlabelled + ridge * np.eye(len(positive)), positive[0] - unlabelled[0])
+
+
+def _binned(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip(((x @ weights + 4) * BINS / 8).astype(np.int64), 0, BINS - 1)
+
+
+def _histogram(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Rows by their score's bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            total += np.bincount(_binned(_matrix(b), weights), minlength=BINS)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
+
+    out = rows.select("x").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(BINS, np.int64)
+    total[out["k"].to_numpy(np.int64)] = out["n"].to_numpy(np.int64)
+    return total
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Least share of unlabelled over positive texts in upper ends of the score, from the two histograms."""
+    p, u = (np.cumsum(x[::-1]) / max(1, x.sum()) for x in (positive, unlabelled))
+    enough = p >= 0.5
+    return float(np.clip((u[enough] / p[enough]).min(), 0.001, 0.999)) if enough.any() else 0.5
 
 
 def score_documents(
@@ -143,21 +219,26 @@ def score_documents(
 
     kind = source.schema["id"].dataType.simpleString()
     rows = stored(source.mapInArrow(run, f"id {kind}, x array<float>").withColumn("held_out", held_out(F.col("id"))), "quality-features")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(~held_out(F.col("id")) & F.col("y").isNotNull())
-    n_known, n_one = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = n_one / n_known if n_known else 0.5
-    ones = known.filter("y = 1").select("id")
+    ones = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter((F.col("y") == 1) & ~held_out(F.col("id"))).select("id")
     if max_labelled is not None:
         ones = ones.orderBy(F.xxhash64("id")).limit(max_labelled)
-    n_pos, positive = _moments(rows.join(ones, "id"))
-    n_all, unlabelled = _moments(rows.filter("not held_out"))
+    half = F.xxhash64("id").bitwiseAND(F.lit(1))
+    trusted = stored(rows.join(ones, "id").select("x", half.alias("half")), "quality-positives")
+    training = rows.filter("not held_out").select("x", half.alias("half"))
+    moments = [[_moments(part.filter(F.col("half") == k)) for k in (0, 1)] for part in (trusted, training)]
+    (n_pos, positive), (n_all, unlabelled) = (_together(*m) for m in moments)
     ridge = max(RIDGE, 2 / max(1.0, n_all))
-    weights = fit(positive, unlabelled, min(prior, 0.999), ridge) if n_pos else np.r_[2 * prior - 1, np.zeros(SIZE - 1)]
+    weights = np.zeros(SIZE)
+    if n_pos:
+        counts = np.zeros((2, BINS), np.int64)
+        for k in (0, 1):  # rows of one half are told apart by what the other half tells
+            tells = telling(moments[0][1 - k][1], moments[1][1 - k][1], ridge)
+            counts += [_histogram(part.filter(F.col("half") == k), tells) for part in (trusted, training)]
+        weights = fit(positive, unlabelled, prior_of(*counts), ridge)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("x").flatten().to_numpy().reshape(-1, SIZE).astype(np.float64)
-            score = pa.array(np.clip((x @ weights + 1) / 2, 0, 1))
+            score = pa.array(np.clip((_matrix(b) @ weights + 1) / 2, 0, 1))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), score], names=["id", "held_out", "score"])
 
     out = rows.mapInArrow(scored, f"id {kind}, held_out boolean, score double")
