@@ -20,7 +20,7 @@ from tablelog.errors import ConstraintError, InvalidInput, LogError, Unsupported
 from tablelog.plans.skipping import stats_json
 from tablelog.sources.fs import Fs, glob_escaped
 from tablelog.sources.scan import NULL_PARTITION
-from tablelog.sources.snapshot import Snapshot
+from tablelog.sources.snapshot import LOG_DIR, READER_FEATURES, Snapshot, commit_name
 
 #: Longer strings give no bounds.
 LONGEST_BOUND = 1024
@@ -52,12 +52,19 @@ def conform(df: DataFrame, snapshot: Snapshot, columns: list[str] | None = None)
     return df.select(*[given.get(f.name.lower(), F.lit(None)).cast(S._map_type(f.dataType, "none")).alias(f.name) for f in fields])
 
 
-def check_not_null(df: DataFrame, schema: T.StructType, table: str) -> None:
-    """One aggregation over the rows; a null below a null struct that may be null is fine."""
+def required_paths(schema: T.StructType) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """(path, parent that may be null) of each field that mustn't be null."""
     try:
-        required = list(S.not_null_paths(schema))
+        return list(S.not_null_paths(schema))
     except LookupError:
         raise Unsupported("Inserting into a table with null constraints in arrays is not supported") from None
+
+
+def check_not_null(written: DataFrame, required: list[tuple[tuple[str, ...], tuple[str, ...]]], table: str) -> None:
+    """One aggregation over the required columns of the staged files; a null below a null struct that may be null is fine.
+
+    The rows as they were written are what counts: the input is run once only.
+    """
     if not required:
         return
 
@@ -65,7 +72,7 @@ def check_not_null(df: DataFrame, schema: T.StructType, table: str) -> None:
         missing = S.column(path).isNull()
         return F.max(missing & S.column(parent).isNotNull() if parent else missing)
 
-    row = df.agg(*[broken(p, parent).alias(f"b{k}") for k, (p, parent) in enumerate(required)]).first()
+    row = written.agg(*[broken(p, parent).alias(f"b{k}") for k, (p, parent) in enumerate(required)]).first()
     for k, (p, _) in enumerate(required):
         if row[f"b{k}"]:
             raise ConstraintError(f"NOT NULL constraint failed: {table}.{'.'.join(p)}")
@@ -82,6 +89,8 @@ def check_writable(snapshot: Snapshot) -> None:
         raise LogError("UnsupportedError", f"writer version {p.get('minWriterVersion')} with features {sorted(unknown)} is not supported")
     if '"delta.invariants"' in snapshot.state.metadata["schemaString"] or any(k.startswith("delta.constraints.") for k in snapshot.configuration):
         raise LogError("UnsupportedError", "writes to tables with check constraints or invariants are not supported")
+    if any(f'"delta.{k}' in snapshot.state.metadata["schemaString"] for k in ("generationExpression", "identity.")):
+        raise LogError("UnsupportedError", "writes to tables with generated or identity columns are not supported")
 
 
 def _json_value(v: object) -> object:
@@ -143,7 +152,7 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
     """
     spark, fs, root = snapshot.spark, Fs(snapshot.spark), snapshot.root
     check_writable(snapshot)
-    check_not_null(df, snapshot.schema, table)
+    required = required_paths(snapshot.schema)
     parts = snapshot.partition_columns
     staging = f"{root}/_staging/{uuid.uuid4().hex}"
     added: list[Added] = []
@@ -154,6 +163,7 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
         writer = df.write.partitionBy(*parts) if parts else df.write
         writer.parquet(staging)
         written = spark.read.schema(S.physical(snapshot.schema, "none")).option("basePath", glob_escaped(staging)).parquet(glob_escaped(staging))
+        check_not_null(written, required, table)
         stats = file_stats(written.select("*", "_metadata"), snapshot.schema, parts)
         values = _partition_values(fs, staging, parts)
         for uri, (rows, text) in sorted(stats.items()):
@@ -219,7 +229,7 @@ def create_table(
     fs.of(root).mkdirs(fs.path(root))
     protocol: dict = {"minReaderVersion": reader_version, "minWriterVersion": writer_version}
     if features is not None:
-        protocol = {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": features, "writerFeatures": features}
+        protocol = {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": [f for f in features if f in READER_FEATURES], "writerFeatures": features}
     now = int(time.time() * 1000)
     meta = {
         "id": str(uuid.uuid4()), "format": {"provider": "parquet", "options": {}}, "schemaString": schema.json(),
@@ -231,6 +241,21 @@ def create_table(
     return Snapshot.load(spark, root)
 
 
+def owned_by_catalog(snapshot: Snapshot) -> bool:
+    """Whether only the table's catalog may say which commits count."""
+    return bool({"catalogManaged", "catalogOwned-preview"} & set(snapshot.state.protocol.get("writerFeatures") or ()))
+
+
+def commit_time(snapshot: Snapshot) -> dict[str, int]:
+    """The in-commit timestamp that the next commit of the table needs: later than the last one's."""
+    if snapshot.configuration.get("delta.enableInCommitTimestamps") != "true":
+        return {}
+    now = int(time.time() * 1000)
+    last = Fs(snapshot.spark).read(f"{snapshot.root}/{LOG_DIR}/{commit_name(snapshot.version)}").split(b"\n", 1)[0]
+    before = json.loads(last).get("commitInfo", {}).get("inCommitTimestamp", 0)
+    return {"inCommitTimestamp": max(now, before + 1)}
+
+
 def commit_info(operation: str, parameters: dict, **more) -> str:
     from tablelog import VERSION
 

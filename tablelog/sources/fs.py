@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -9,6 +11,9 @@ from pyspark.sql import SparkSession
 
 from tablelog.errors import LogError
 
+#: Stores without renames, whose objects appear whole.
+_OBJECT_STORES = {"s3", "s3a", "s3n", "gs", "oss", "cosn", "obs"}
+
 
 class Fs:
     def __init__(self, spark: SparkSession):
@@ -68,10 +73,34 @@ class Fs:
     def put_if_absent(self, p: str, data: bytes) -> bool:
         """Publish a whole file under a name that no one has; False if it is taken.
 
-        Written beside and hard to see half-done: a rename onto an existing name
-        fails on HDFS; on local disks exclusive creation decides.
+        Written beside under another name first, so a crash leaves no half file of
+        that name and readers never see one.  On local disks a hard link publishes
+        it, elsewhere a rename, which fails on a taken name.  Object stores have neither;
+        there an object appears when its stream is closed, and creation is exclusive where the store offers that.
         """
-        return self.write(p, data, overwrite=False)
+        fs, target = self.of(p), self.path(p)
+        scheme = fs.getUri().getScheme()
+        if scheme in _OBJECT_STORES:
+            return self.write(p, data, overwrite=False)
+        if fs.exists(target):
+            return False
+        beside = f"{p.rpartition('/')[0]}/.{p.rpartition('/')[2]}.{uuid.uuid4().hex}.tmp"
+        try:
+            self.write(beside, data)
+            if scheme == "file":
+                try:
+                    os.link(plain(fs.makeQualified(self.path(beside)).toString()), plain(fs.makeQualified(target).toString()))
+                except FileExistsError:
+                    return False
+                return True
+            try:
+                return bool(fs.rename(self.path(beside), target))
+            except Py4JJavaError:
+                if fs.exists(target):
+                    return False
+                raise
+        finally:
+            self.delete(beside)
 
     def rename(self, a: str, b: str) -> None:
         self.of(b).mkdirs(self.path(b).getParent())
@@ -117,20 +146,6 @@ def plain(path: str) -> str:
     return path
 
 
-def is_absolute(path: str) -> bool:
-    return "://" in path or path.startswith(("/", "file:"))
-
-
-def common_lineage(a: str, b: str) -> str:
-    """Longest common folder of two paths."""
-    out = []
-    for x, y in zip(a.split("/"), b.split("/")):
-        if x != y:
-            break
-        out.append(x)
-    return "/".join(out)
-
-
 def glob_escaped(path: str) -> str:
     """A path that Spark's readers take literally."""
     return "".join("\\" + c if c in "[]{}*?\\" else c for c in path)

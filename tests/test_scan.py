@@ -9,8 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from tablelog import fixtures as X
-from tablelog.errors import InvalidInput
+from tablelog.errors import CatalogError, InvalidInput
 from tablelog.functions import metadata
+from tablelog.operators.transaction import Transaction
+from tablelog.operators.write import create_table
 from tablelog.plans import catalyst
 from tablelog.session import Session
 from tablelog.sources.scan import prune, scan, scan_snapshot
@@ -178,3 +180,36 @@ def test_variant(spark, root):
     path = X.build(spark, "variant", [df])
     got = scan(spark, path).selectExpr("id", "variant_get(v, '$.a', 'int') AS a").collect()
     assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_names_are_resolved_by_scope(spark, root):
+    s = Session(spark)
+    for name, n in (("nation", 3), ("orders", 5)):
+        create_table(spark, f"{root}-{name}", T.StructType([T.StructField("i", T.LongType())]))
+        with Transaction(Snapshot.load(spark, f"{root}-{name}")) as tx:
+            tx.insert(spark.range(n))
+        s.attach(f"{root}-{name}", name)
+    one = lambda text: s.sql(text).collect()[0][0]
+    # an expression of that name hides the table, within its scope only
+    assert one("WITH nation AS (SELECT 1 AS x) SELECT count(*) FROM nation") == 1
+    assert one("WITH nation AS (SELECT * FROM nation WHERE i > 0) SELECT count(*) FROM nation") == 2
+    assert one("SELECT (WITH nation AS (SELECT 1 AS x) SELECT count(*) FROM nation) + count(*) FROM nation") == 4
+    assert one("WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM orders, a) SELECT count(*) FROM b") == 5
+    assert one("WITH RECURSIVE orders AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM orders WHERE k < 4) SELECT count(*) FROM orders") == 4
+    # lists, quotes, schemas, aliases, subqueries, strings and comments
+    assert one("SELECT count(*) FROM orders o, nation n WHERE o.i = n.i") == 3
+    assert one("SELECT count(*) FROM orders, nation WHERE orders.i = nation.i") == 3
+    assert one('SELECT count(*) FROM "nation"') == 3 and one("SELECT count(*) FROM `orders` AS o") == 5
+    assert one("SELECT count(*) FROM nation.nation") == 3 and one("SELECT count(*) FROM nation.main.nation x") == 3
+    assert one("SELECT count(*) FROM orders o WHERE EXISTS (SELECT 1 FROM nation WHERE nation.i = o.i)") == 3
+    assert one("SELECT count(*) FROM orders WHERE i IN (SELECT i FROM nation) AND 'FROM nation' <> 'x' -- FROM nation") == 3
+    assert one("SELECT count(*) FROM nation AT (VERSION => 0) v, orders AT (VERSION => 1)") == 0
+    assert one("SELECT count(*) FROM orders AS o(k) WHERE k > 2") == 2
+    assert one("SELECT sum(nation) FROM (SELECT i AS nation FROM orders) nation") == 10
+    s.use("nation")
+    assert one("SELECT count(*) FROM main.nation") == 3
+    s.detach("nation")
+    with pytest.raises(Exception, match="nation"):
+        s.sql("SELECT * FROM main.nation")
+    with pytest.raises(CatalogError):
+        s.use("nation")

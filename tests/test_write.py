@@ -1,19 +1,22 @@
 """Appends, transactions, constraints, the session's SQL, and the streaming sink."""
 
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelog import fixtures as X
 from tablelog.errors import CatalogError, CommitConflict, ConstraintError, InvalidInput, LogError, TransactionError, Unsupported
 from tablelog.functions import util
 from tablelog.functions.observe import parse_logline
-from tablelog.operators.committer import CatalogCommitter
+from tablelog.operators.committer import CatalogCommitter, FileCommitter
 from tablelog.operators.transaction import Transaction
 from tablelog.operators.write import create_table
 from tablelog.session import Session
 from tablelog.sources import storage
+from tablelog.sources.fs import Fs
 from tablelog.sources.scan import scan
 from tablelog.sources.snapshot import Snapshot
 from tablelog.streaming.sink import append_once, foreach_batch
@@ -75,7 +78,7 @@ def test_transaction_commits_once(spark, root):
     s = made(spark, root)
     s.sql("BEGIN")
     s.sql("INSERT INTO t VALUES (1)")
-    with pytest.raises(TransactionError, match="uncommitted"):
+    with pytest.raises(TransactionError, match="after COMMIT"):
         s.sql("SELECT * FROM t").collect()
     assert scan(spark, root).count() == 0
     s.sql("INSERT INTO t VALUES (2)")
@@ -147,7 +150,7 @@ def test_refusals(spark, root):
     with pytest.raises(CatalogError):
         s.table("other")
     s.attach(root, "ro", read_only=True)
-    with pytest.raises(InvalidInput, match="read only"):
+    with pytest.raises(InvalidInput, match="read-only"):
         s.sql("INSERT INTO ro VALUES (1)")
     s.attach(root, "pin", pin_snapshot=True)
     with pytest.raises(InvalidInput, match="pinned"):
@@ -248,3 +251,103 @@ def test_settings_and_logs(spark, root):
     assert s.pushdown_log().count() == 0
     with pytest.raises(InvalidInput):
         s.set("other", True)
+
+
+def test_commit_that_breaks_off_leaves_nothing(spark, root, monkeypatch):
+    """A stream that fails in the middle leaves no file of the commit's name, and the table goes on."""
+    made(spark, root)
+    real = Fs.write
+
+    def half(self, p, data, overwrite=False):
+        if ".tmp" in p:
+            real(self, p, data[: len(data) // 2], overwrite)
+            raise OSError("the disk is gone")
+        return real(self, p, data, overwrite)
+
+    tx = Transaction(Snapshot.load(spark, root))
+    tx.insert(spark.createDataFrame([(1,)], I).coalesce(1))
+    with monkeypatch.context() as m:
+        m.setattr(Fs, "write", half)
+        with pytest.raises(OSError):
+            tx.commit()
+    log_files = os.listdir(root.removeprefix("file://") + "/_delta_log")
+    assert log_files == ["00000000000000000000.json"] and data_files(root) == []
+    again = Transaction(Snapshot.load(spark, root))
+    again.insert(spark.createDataFrame([(2,)], I).coalesce(1))
+    assert again.commit() == 1 and scan(spark, root).collect()[0][0] == 2
+
+
+@pytest.mark.parametrize("case", ["ours", "another's", "not there", "unknown"])
+def test_commit_that_raises_is_read_back(spark, root, monkeypatch, case):
+    """Data files are deleted only if the commit is known not to be ours."""
+    made(spark, root)
+
+    class Lost(FileCommitter):
+        def commit(self, at, version, lines):
+            if case in ("ours", "unknown"):
+                super().commit(at, version, lines)
+            if case == "another's":
+                super().commit(at, version, [lines[0]])
+            raise TimeoutError("no answer")
+
+        def published(self, at, version, lines):
+            return None if case == "unknown" else super().published(at, version, lines)
+
+    tx = Transaction(Snapshot.load(spark, root), committer=Lost(spark))
+    tx.insert(spark.createDataFrame([(1,)], I).coalesce(1))
+    if case == "ours":
+        assert tx.commit() == 1
+    else:
+        with pytest.raises(TimeoutError):
+            tx.commit()
+    assert len(data_files(root)) == (case in ("ours", "unknown"))
+    assert scan(spark, root).count() == (case in ("ours", "unknown"))
+
+
+def test_features_that_are_not_written_are_refused(spark, root, tmp_path):
+    create_table(spark, root, I, features=["catalogManaged"])
+    s = Session(spark)
+    s.attach(root, "t")
+    with pytest.raises(Unsupported, match="catalog"):
+        s.sql("INSERT INTO t VALUES (1)")
+    for k, key in enumerate(("delta.generationExpression", "delta.identity.start")):
+        path = f"file://{tmp_path}/g{k}"
+        schema = T.StructType([T.StructField("i", T.LongType(), True, {key: "1"})])
+        create_table(spark, path, schema, writer_version=6)
+        with pytest.raises(LogError, match="generated or identity"):
+            Transaction(Snapshot.load(spark, path)).insert(spark.createDataFrame([(1,)], I))
+
+
+def test_in_commit_timestamps(spark, root):
+    create_table(spark, root, I, features=["inCommitTimestamp"], configuration={"delta.enableInCommitTimestamps": "true"})
+    stamps = []
+    for k in range(3):
+        tx = Transaction(Snapshot.load(spark, root))
+        tx.insert(spark.createDataFrame([(k,)], I).coalesce(1))
+        version = tx.commit()
+        with open(f"{root.removeprefix('file://')}/_delta_log/{version:020d}.json") as f:
+            stamps.append(json.loads(f.readline())["commitInfo"]["inCommitTimestamp"])
+    assert stamps == sorted(set(stamps))
+
+
+def test_input_runs_once(spark, root):
+    """NOT NULL is checked on the rows as written."""
+    s = made(spark, root, T.StructType([T.StructField("i", T.LongType(), False)]))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint", useArrow=False)
+    def counted(x):
+        seen.add(1)
+        return x
+
+    s.insert("t", spark.range(5).select(counted("id").alias("i")))
+    assert seen.value == 5
+
+
+def test_create_as_on_attached_names(spark, root):
+    s = made(spark, root)
+    s.sql("INSERT INTO t VALUES (1), (2)")
+    for text in ("CREATE TABLE t AS SELECT 1 AS i", "CREATE OR REPLACE TABLE `t` AS SELECT * FROM t", "CREATE TABLE IF NOT EXISTS t (i BIGINT)", "CREATE VIEW t AS SELECT 1"):
+        with pytest.raises(Unsupported):
+            s.sql(text)
+    assert not spark.catalog.tableExists("t")
