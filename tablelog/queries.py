@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 
 from tablelog import fixtures as X
 from tablelog import schema as S
-from tablelog.errors import TableLogError
+from tablelog.errors import ConstraintError, TableLogError
 from tablelog.functions import metadata
-from tablelog.operators.checkpoint import write_checkpoint
+from tablelog.operators.checkpoint import checkpoint_rows, write_checkpoint
 from tablelog.operators.joins import asof_join, range_join
 from tablelog.operators.transaction import Transaction
 from tablelog.operators.write import create_table
 from tablelog.session import Session
+from tablelog.sources.fs import Fs
 from tablelog.sources.scan import scan
-from tablelog.sources.snapshot import Snapshot
+from tablelog.sources.snapshot import LOG_DIR, Snapshot, commit_name
 from tablelog.streaming.sink import append_once
 from tablelog.workspace import scratch
 
@@ -183,9 +184,73 @@ _TEXTS = {
     "recursive_cte": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, (SELECT count(*) FROM region) AS r FROM t", "region"),
     "semi_join": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", *_CO),
     "anti_join": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", *_CO),
+    "cte_shadows_table": ("WITH nation AS (SELECT r_regionkey AS x FROM region) SELECT x FROM nation", "nation", "region"),
+    "cte_in_subquery": ("SELECT (WITH nation AS (SELECT r_name FROM region) SELECT count(*) FROM nation) AS inner_n, count(*) AS outer_n FROM nation", "nation", "region"),
+    "comma_join": ("SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey", *_CO),
+    "quoted_name": ('SELECT n_nationkey, n_name FROM "nation"', "nation"),
+    "set_intersect_all": ("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "customer", "supplier"),
+    "set_except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer", "supplier"),
+    "window_ranking": (
+        """SELECT o_orderkey, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(ntile(3) OVER w AS BIGINT) AS t,
+        round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c, CAST(row_number() OVER w AS BIGINT) AS r
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)""", "orders"),
+    "window_analytic": (
+        """SELECT o_orderkey, lead(o_orderkey, 2) OVER w AS ahead, first_value(o_orderkey) OVER w AS f,
+        last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l,
+        nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""", "orders"),
+    "window_range": ("SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal RANGE BETWEEN 500 PRECEDING AND 250 FOLLOWING) AS n FROM customer", "customer"),
+    "window_range_interval": ("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS n FROM events", "events"),
+    "interval_join": (
+        """SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id
+        AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '30' MINUTE WHERE a.event_type = 'click'""", "events"),
+    "skip_timestamp": ("SELECT count(*) AS n, max(l_orderkey) AS high FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-04-01 00:00:00'", "lineitem"),
+    "skip_float": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 350000.5", "orders"),
+    "agg_statistics": (
+        """SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c,
+        round(median(l_quantity), 6) AS m, count(*) FILTER (WHERE l_quantity > 40) AS big FROM lineitem GROUP BY l_returnflag""", "lineitem"),
+    "grouping_flags": ("SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING count(*) > 10", "lineitem"),
+    "lateral_join": ("SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS x", *_CO),
     "scalar_functions": ("SELECT upper(substring(c_name, 1, 8)) AS s, length(c_name) AS l, abs(c_acctbal) AS a, c_custkey % 7 AS m FROM customer", "customer"),
 }
 
+#: (oracle's text, text for Spark, tables): the same result where the dialects differ.
+_PAIRS = {
+    "functions_cast_typeof": (
+        "SELECT o_orderkey, lower(typeof(o_orderkey)) AS t, CAST(o_totalprice AS BIGINT) AS p, TRY_CAST(o_orderpriority AS INTEGER) AS bad, o_orderkey::VARCHAR AS s FROM orders WHERE o_totalprice - floor(o_totalprice) < 0.4",
+        "SELECT o_orderkey, typeof(o_orderkey) AS t, CAST(round(o_totalprice) AS BIGINT) AS p, TRY_CAST(o_orderpriority AS INTEGER) AS bad, o_orderkey::STRING AS s FROM orders WHERE o_totalprice - floor(o_totalprice) < 0.4",
+        "orders"),
+    "functions_map": (
+        "SELECT n_nationkey, m['name'] AS name, m['none'] AS none, len(map_keys(m))::BIGINT AS k FROM (SELECT n_nationkey, map {'name': n_name, 'key': n_nationkey::VARCHAR} AS m FROM nation)",
+        "SELECT n_nationkey, m['name'] AS name, m['none'] AS none, CAST(size(map_keys(m)) AS BIGINT) AS k FROM (SELECT n_nationkey, map('name', n_name, 'key', CAST(n_nationkey AS STRING)) AS m FROM nation)",
+        "nation"),
+    "functions_unnest": (
+        "SELECT n_nationkey, unnest([n_regionkey, n_regionkey + 10, n_nationkey * 2]) AS x FROM nation",
+        "SELECT n_nationkey, explode(array(n_regionkey, n_regionkey + 10, n_nationkey * 2)) AS x FROM nation",
+        "nation"),
+    "functions_struct": (
+        "SELECT s.k AS k, s.t.name AS name, s.t.region AS region FROM (SELECT {'k': n_nationkey, 't': {'name': n_name, 'region': n_regionkey}} AS s FROM nation) WHERE s.t.region > 1",
+        "SELECT s.k AS k, s.t.name AS name, s.t.region AS region FROM (SELECT named_struct('k', n_nationkey, 't', named_struct('name', n_name, 'region', n_regionkey)) AS s FROM nation) WHERE s.t.region > 1",
+        "nation"),
+    "star_exclude": ("SELECT * EXCLUDE (c_name, c_mktsegment) FROM customer", "SELECT * EXCEPT (c_name, c_mktsegment) FROM customer", "customer"),
+    "functions_json": (
+        "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50",
+        "SELECT event_id, get_json_object(props, '$.k') AS k FROM events WHERE CAST(get_json_object(props, '$.k') AS INT) > 50",
+        "events"),
+    "functions_string_slice": (
+        "SELECT c_custkey, c_name[1:4] AS a, right(c_name, 3) AS b, c_name LIKE '%7' AS c, regexp_replace(c_name, '[0-9]+', '#') AS d, split_part(c_name, '#', 2) AS e FROM customer",
+        "SELECT c_custkey, substring(c_name, 1, 4) AS a, right(c_name, 3) AS b, c_name LIKE '%7' AS c, regexp_replace(c_name, '[0-9]+', '#') AS d, split_part(c_name, '#', 2) AS e FROM customer",
+        "customer"),
+    "functions_dates": (
+        "SELECT date_trunc('month', l_shipdate)::DATE AS m, count(*) AS n, min(extract(year FROM l_shipdate))::BIGINT AS y, max(date_diff('day', DATE '1992-01-01', l_shipdate::DATE))::BIGINT AS d FROM lineitem GROUP BY 1",
+        "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, count(*) AS n, CAST(min(extract(year FROM l_shipdate)) AS BIGINT) AS y, CAST(max(datediff(l_shipdate, DATE '1992-01-01')) AS BIGINT) AS d FROM lineitem GROUP BY 1",
+        "lineitem"),
+    "agg_approx_within": (
+        "SELECT l_returnflag, count(DISTINCT l_orderkey) > 0 AS ok FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, abs(approx_count_distinct(l_orderkey, 0.02) - count(DISTINCT l_orderkey)) <= 0.1 * count(DISTINCT l_orderkey) AS ok FROM lineitem GROUP BY l_returnflag",
+        "lineitem"),
+}
+
 
 def _q12_spark(text: str) -> str:
     return text.replace("sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT", "sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)")
@@ -506,7 +571,173 @@ def range_join_parts(spark, sf_dir):
     return out.select("c_custkey", "s_suppkey")
 
 
+def _copied(spark, sf_dir, name: str, change: Callable[[str], None]) -> str:
+    """Log table of orders of its own, so that its log may be changed."""
+
+    def make() -> str:
+        df = _raw(spark, sf_dir, "orders")
+        root = X.build(spark, name, [df.filter("o_orderkey % 2 = 0"), df.filter("o_orderkey % 2 = 1")])
+        change(root)
+        return root
+
+    return _fixture(spark, sf_dir, name, make)
+
+
+def _rows_from_checkpoint(spark, sf_dir, name: str, put: Callable[[Snapshot, str], None]):
+    """All rows of a table whose commits are gone: what is read comes from the checkpoint."""
+
+    def change(root: str) -> None:
+        snapshot, log_dir, fs = Snapshot.load(spark, root), f"{root}/{LOG_DIR}", Fs(spark)
+        put(snapshot, log_dir)
+        for version in range(snapshot.version + 1):
+            fs.delete(f"{log_dir}/{commit_name(version)}")
+
+    return scan(spark, _copied(spark, sf_dir, name, change)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def checkpoint_rows_classic(spark, sf_dir):
+    return _rows_from_checkpoint(spark, sf_dir, "checkpointed", lambda s, _: write_checkpoint(s))
+
+
+def checkpoint_rows_multipart(spark, sf_dir):
+    def put(s: Snapshot, log_dir: str) -> None:
+        fs, staging = Fs(spark), f"{log_dir}/_parts"
+        checkpoint_rows(s).repartition(2, F.col("add.path")).write.parquet(staging)
+        names = sorted(n for n, _, _ in fs.names(staging) if n.startswith("part-"))
+        for k, n in enumerate(names):
+            fs.rename(f"{staging}/{n}", f"{log_dir}/{s.version:020d}.checkpoint.{k + 1:010d}.{len(names):010d}.parquet")
+        fs.delete(staging, recursive=True)
+
+    return _rows_from_checkpoint(spark, sf_dir, "checkpointed-parts", put)
+
+
+def checkpoint_rows_v2(spark, sf_dir):
+    """A manifest in JSON and the files' actions in a sidecar."""
+
+    def put(s: Snapshot, log_dir: str) -> None:
+        fs, staging = Fs(spark), f"{log_dir}/_parts"
+        rows = checkpoint_rows(s)
+        rows.filter("add IS NOT NULL").select("add").coalesce(1).write.parquet(staging)
+        (part,) = [n for n, _, _ in fs.names(staging) if n.startswith("part-")]
+        side = "00000000-0000-0000-0000-000000000002.parquet"
+        fs.rename(f"{staging}/{part}", f"{log_dir}/_sidecars/{side}")
+        fs.delete(staging, recursive=True)
+        size, changed = fs.status(f"{log_dir}/_sidecars/{side}")
+        lines = [r[0] for r in rows.filter("add IS NULL").select(F.to_json(F.struct("*"))).collect()]
+        lines += [json.dumps({"checkpointMetadata": {"version": s.version}}), json.dumps({"sidecar": {"path": side, "sizeInBytes": size, "modificationTime": changed}})]
+        fs.write(f"{log_dir}/{s.version:020d}.checkpoint.00000000-0000-0000-0000-000000000001.json", "\n".join([*lines, ""]).encode())
+
+    return _rows_from_checkpoint(spark, sf_dir, "checkpointed-v2", put)
+
+
+def skip_struct(spark, sf_dir):
+    """Files that a field of a struct rules out, and the rows of the others."""
+    nested_fields(spark, sf_dir)
+    s = Session(spark)
+    s.attach(_fixture(spark, sf_dir, "nested", str), "nested")
+    out = s.sql("SELECT v.key AS k, v.name AS name FROM nested WHERE v.key < 8")
+    seen = s.log.pushdowns[-1]
+    return out.withColumns({"files_before": F.lit(seen.files_before).cast("bigint"), "files_after": F.lit(seen.files_after).cast("bigint")})
+
+
+def partition_single_in(spark, sf_dir):
+    s = Session(spark)
+    s.attach(_partitioned(spark, sf_dir), "p")
+    return s.sql("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM p WHERE o_orderpriority IN ('1-URGENT') AND o_orderstatus IN ('F')")
+
+
+def variant_access(spark, sf_dir):
+    variant_roundtrip(spark, sf_dir)
+    s = Session(spark)
+    s.attach(_fixture(spark, sf_dir, "variant", str), "variants")
+    return s.sql("SELECT event_id, variant_get(v, '$.k', 'bigint') AS k FROM variants WHERE variant_get(v, '$.k', 'bigint') % 2 = 0")
+
+
+def map_and_list_columns(spark, sf_dir):
+    """Maps and lists as columns of a log table: entries, elements and lengths."""
+
+    def make() -> str:
+        df = _raw(spark, sf_dir, "nation").select(
+            "n_nationkey", F.create_map(F.lit("name"), "n_name", F.lit("region"), F.col("n_regionkey").cast("string")).alias("m"), F.array("n_regionkey", "n_nationkey").alias("l"))
+        return X.build(spark, "maps", [df.filter("n_nationkey < 12"), df.filter("n_nationkey >= 12")])
+
+    s = Session(spark)
+    s.attach(_fixture(spark, sf_dir, "maps", make), "maps")
+    return s.sql("SELECT n_nationkey, m['name'] AS name, m['region'] AS region, e AS element FROM maps LATERAL VIEW explode(l) AS e")
+
+
+def virtual_columns_by_file(spark, sf_dir):
+    """Row numbers of each file run from 0 without gaps; files are numbered and their rows add up."""
+    df = scan(spark, table(spark, sf_dir, "lineitem"), virtual=["filename", "file_row_number", "file_number"])
+    files = df.groupBy("filename").agg(
+        F.count("*").alias("n"), F.min("file_row_number").alias("low"), F.max("file_row_number").alias("high"),
+        F.count_distinct("file_row_number").alias("d"), F.count_distinct("file_number").alias("numbers"),
+    )
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("d") == F.col("n")) & (F.col("numbers") == 1)
+    return files.agg(F.sum("n").alias("n"), F.count_if(~whole).alias("broken"))
+
+
+def not_null_refused(spark, sf_dir):
+    """Rows of a required column: an append with a null fails as a whole."""
+
+    def make() -> str:
+        df = _raw(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        root = scratch(spark, "required")
+        create_table(spark, root, T.StructType([T.StructField("n_nationkey", df.schema["n_nationkey"].dataType, False), T.StructField("n_name", T.StringType())]))
+        s = Session(spark)
+        s.attach(root, "r")
+        s.insert("r", df)
+        try:
+            s.insert("r", df.withColumn("n_nationkey", F.expr("nullif(n_nationkey, 7)")))
+        except ConstraintError:
+            pass
+        return root
+
+    return scan(spark, _fixture(spark, sf_dir, "required", make))
+
+
+def log_tail(spark, sf_dir):
+    """A version that only the catalog's list names, not the log's listing."""
+
+    def make() -> str:
+        df = _raw(spark, sf_dir, "region")
+        root = X.build(spark, "tailed", [df.filter("r_regionkey < 3"), df.filter("r_regionkey >= 3")])
+        Fs(spark).rename(f"{root}/{LOG_DIR}/{commit_name(2)}", f"{root}/{LOG_DIR}/_staged_commits/{2:020d}.00000000-0000-0000-0000-000000000003.json")
+        return root
+
+    root = _fixture(spark, sf_dir, "tailed", make)
+    assert scan(spark, root).count() < 5
+    name = f"{2:020d}.00000000-0000-0000-0000-000000000003.json"
+    size, changed = Fs(spark).status(f"{root}/{LOG_DIR}/_staged_commits/{name}")
+    tail = [{"version": 2, "file_name": name, "file_size": size, "file_modification_timestamp": changed, "timestamp": changed}]
+    s = Session(spark)
+    s.attach(root, "tailed", log_tail=tail)
+    return s.sql("SELECT r_regionkey, r_name FROM tailed")
+
+
+def pushdown_log_rows(spark, sf_dir):
+    """What the session's log says of three filters: the files of orders before and after."""
+    s = session(spark, sf_dir, ("orders",))
+    low, high = _raw(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    for text in (f"o_orderkey = {low}", f"o_orderkey > {high}", f"o_orderkey BETWEEN {low} AND {high}"):
+        s.sql(f"SELECT count(*) AS n FROM orders WHERE {text}").collect()
+    log = s.pushdown_log()
+    share = F.expr("CASE WHEN files_after = 0 THEN 'none' WHEN files_after < files_before THEN 'some' ELSE 'all' END")
+    return log.groupBy(share.alias("share")).agg(F.count("*").alias("n"))
+
+
 _FUNCTIONS = {
+    "checkpoint_rows_classic": (checkpoint_rows_classic, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
+    "checkpoint_rows_multipart": (checkpoint_rows_multipart, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
+    "checkpoint_rows_v2": (checkpoint_rows_v2, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
+    "skip_struct": (skip_struct, "SELECT n_nationkey AS k, n_name AS name, 2::BIGINT AS files_before, 1::BIGINT AS files_after FROM nation WHERE n_nationkey < 8"),
+    "partition_single_in": (partition_single_in, f"SELECT o_orderkey, o_orderpriority, o_orderstatus FROM {_PARTED} WHERE o_orderpriority IN ('1-URGENT') AND o_orderstatus IN ('F')"),
+    "variant_access": (variant_access, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0"),
+    "map_and_list_columns": (map_and_list_columns, "SELECT n_nationkey, n_name AS name, n_regionkey::VARCHAR AS region, unnest([n_regionkey, n_nationkey]) AS element FROM nation"),
+    "virtual_columns_by_file": (virtual_columns_by_file, "SELECT count(*) AS n, 0::BIGINT AS broken FROM lineitem"),
+    "not_null_refused": (not_null_refused, "SELECT n_nationkey, n_name FROM nation"),
+    "log_tail": (log_tail, "SELECT r_regionkey, r_name FROM region"),
+    "pushdown_log_rows": (pushdown_log_rows, "SELECT * FROM (VALUES ('some', 1::BIGINT), ('none', 1::BIGINT), ('all', 1::BIGINT)) AS t(share, n)"),
     "scan_partitioned": (scan_partitioned, f"SELECT * FROM {_PARTED}"),
     "partition_filter": (partition_filter, f"SELECT * FROM {_PARTED} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IS NOT NULL"),
     "null_partition": (null_partition, f"SELECT o_orderkey, o_orderpriority FROM {_PARTED} WHERE o_orderstatus IS NULL"),
@@ -542,6 +773,8 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name, (_text, *_names) in _TEXTS.items():
     QUERIES[_name], ORACLE_SQL[_name] = _sql(_text, *_names, spark_text=_q12_spark(_text))
+for _name, (_text, _spark_text, *_names) in _PAIRS.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _sql(_text, *_names, spark_text=_spark_text)
 for _name, (_run, _text) in _FUNCTIONS.items():
     QUERIES[_name], ORACLE_SQL[_name] = _run, _text
 
