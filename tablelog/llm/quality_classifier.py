@@ -43,7 +43,7 @@ FOLDS, HELD_OUT = 3, 1
 #: Least ridge; 2 / rows where that is more.
 RIDGE = 1e-4
 #: Buckets of hashed words, and the weight of their features beside the shares.
-WORD_BUCKETS, WORD_WEIGHT = 128, 0.5
+WORD_BUCKETS, WORD_WEIGHT = 64, 0.5
 #: Bins of the score's histogram for the prior, over -4 to 4.
 BINS = 2000
 #: Steps of every share: x, its root, and where it exceeds these.
@@ -116,23 +116,37 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return b.column("x").flatten().to_numpy().reshape(-1, SIZE).astype(np.float64)
 
 
-def _moments(rows: DataFrame) -> tuple[float, np.ndarray]:
-    """(rows, mean outer product of the features); the first row of it is the mean."""
+def _halves(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    x, half = _matrix(b), b.column("half").to_numpy()
+    yield from ((k, x[half == k]) for k in (0, 1))
+
+
+def _moments(rows: DataFrame) -> list[tuple[float, np.ndarray]]:
+    """For each half (rows, mean outer product of the features); the first row of that is the mean.
+
+    A task sends the upper triangles of its two sums, which combine before the shuffle.
+    """
+    upper = np.triu_indices(SIZE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((SIZE, SIZE))
+        n, total = np.zeros(2), np.zeros((2, SIZE, SIZE))
         for b in batches:
-            x = _matrix(b)
-            total += x.T @ x
-            n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE * SIZE + 1)), pa.array(np.r_[total.ravel(), n])], names=["k", "v"])
-
-    out = rows.select("x").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    all_ = np.zeros(SIZE * SIZE + 1)
-    all_[out["k"].to_numpy(np.int64)] = out["v"].to_numpy()
-    n = all_[-1]
-    return n, all_[:-1].reshape(SIZE, SIZE) / max(1.0, n)
+            for k, x in _halves(b):
+                total[k] += x.T @ x
+                n[k] += len(x)
+        for k in np.flatnonzero(n):
+            own = np.r_[total[k][upper], n[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own)) + k * len(own)), pa.array(own)], names=["k", "v"])
+
+    out = rows.select("x", "half").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    sums = np.zeros(2 * (len(upper[0]) + 1))
+    sums[out["k"].to_numpy(np.int64)] = out["v"].to_numpy()
+    found = []
+    for own in np.split(sums, 2):
+        m = np.zeros((SIZE, SIZE))
+        m[upper] = own[:-1]
+        found.append((own[-1], (m + np.triu(m, 1).T) / max(1.0, own[-1])))
+    return found
 
 
 def _together(a: tuple[float, np.ndarray], b: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
@@ -182,17 +196,18 @@ def _binned(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.clip(((x @ weights + 4) * BINS / 8).astype(np.int64), 0, BINS - 1)
 
 
-def _histogram(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Rows by their score's bin."""
+def _histogram(rows: DataFrame, weights: list[np.ndarray]) -> np.ndarray:
+    """Rows by the bin of their score; each half has weights of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for b in batches:
-            total += np.bincount(_binned(_matrix(b), weights), minlength=BINS)
+            for k, x in _halves(b):
+                total += np.bincount(_binned(x, weights[k]), minlength=BINS)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
 
-    out = rows.select("x").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = rows.select("x", "half").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(BINS, np.int64)
     total[out["k"].to_numpy(np.int64)] = out["n"].to_numpy(np.int64)
     return total
@@ -225,16 +240,14 @@ def score_documents(
     half = F.xxhash64("id").bitwiseAND(F.lit(1))
     trusted = stored(rows.join(ones, "id").select("x", half.alias("half")), "quality-positives")
     training = rows.filter("not held_out").select("x", half.alias("half"))
-    moments = [[_moments(part.filter(F.col("half") == k)) for k in (0, 1)] for part in (trusted, training)]
-    (n_pos, positive), (n_all, unlabelled) = (_together(*m) for m in moments)
+    halves = [_moments(part) for part in (trusted, training)]
+    (n_pos, positive), (n_all, unlabelled) = (_together(*m) for m in halves)
     ridge = max(RIDGE, 2 / max(1.0, n_all))
     weights = np.zeros(SIZE)
     if n_pos:
-        counts = np.zeros((2, BINS), np.int64)
-        for k in (0, 1):  # rows of one half are told apart by what the other half tells
-            tells = telling(moments[0][1 - k][1], moments[1][1 - k][1], ridge)
-            counts += [_histogram(part.filter(F.col("half") == k), tells) for part in (trusted, training)]
-        weights = fit(positive, unlabelled, prior_of(*counts), ridge)
+        # rows of one half are told apart by what the other half tells
+        tells = [telling(halves[0][1 - k][1], halves[1][1 - k][1], ridge) for k in (0, 1)]
+        weights = fit(positive, unlabelled, prior_of(_histogram(trusted, tells), _histogram(training, tells)), ridge)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
