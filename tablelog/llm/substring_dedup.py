@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelog.llm.blobs import BLOBS, blob, blob_rows, columns_of, grouped
 from tablelog.llm.common import drop_stored, has_bit, key_bit, key_bitmap, maybe_in, numbered, small_batches, stored, with_ids
 
 WINDOW = 13
@@ -135,29 +136,11 @@ def _groups_of(h: np.ndarray, window: int, levels: tuple[int, ...], first: np.nd
     return out
 
 
-# A blob is a compressed run of equally long columns.
 FOUND = (np.int64, np.int32, np.int64, np.int32)  # document, position, its owner's
 #: Bytes of a name that are sent.
 NAME_BYTES = 7
 
 
-def _blob(columns) -> bytes:
-    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
-
-
-def _columns(blobs: list[bytes], types: tuple) -> list[np.ndarray]:
-    width, parts = sum(np.dtype(t).itemsize for t in types), []
-    for x in blobs:
-        size = int.from_bytes(x[:8], "little")
-        raw, at, n, own = pa.decompress(x[8:], size, codec="lz4", asbytes=True), 0, size // width, []
-        for t in types:
-            own.append(np.frombuffer(raw, dtype=t, count=n, offset=at))
-            at += n * np.dtype(t).itemsize
-        parts.append(own)
-    return [np.concatenate(c) if parts else np.empty(0, t) for c, t in zip(zip(*parts) if parts else [()] * len(types), types)]
-
-
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The lowest ``width`` bytes of each number, byte by byte of all: what is alike stands together."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -211,34 +194,7 @@ def _found_rows(doc, pos, odoc, opos, parts: int) -> Iterator[tuple[int, bytes]]
     for p in range(parts):
         own = order[cuts[p] : cuts[p + 1]]
         if len(own):
-            yield p, _blob([doc[own], pos[own].astype(np.int32), odoc[own], opos[own].astype(np.int32)])
-
-
-def _rows(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-        names=["kind", "key", "blob"],
-    )
-
-
-BLOBS = "kind int, key int, blob binary"
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], pass_on: bool) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
-    """((kind, key), its blobs) of rows sorted by them; of kind 1 each blob at once with ``pass_on``."""
-    now, held = None, []
-    for b in batches:
-        for kind, key, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "blob"))):
-            if kind == 1 and pass_on:
-                yield (kind, key), [blob]
-                continue
-            if now != (kind, key):
-                if held:
-                    yield now, held
-                now, held = (kind, key), []
-            held.append(blob)
-    if held:
-        yield now, held
+            yield p, blob([doc[own], pos[own].astype(np.int32), odoc[own], opos[own].astype(np.int32)])
 
 
 def repeats(
@@ -277,7 +233,7 @@ def repeats(
             order, own = _owned(name, doc, pos)
             doc_, pos_ = doc[order], pos[order]
             later = doc_ != doc_[own]
-            yield _rows(1, list(_found_rows(doc_[later], pos_[later], doc_[own][later], pos_[own][later], parts)))
+            yield blob_rows(1, list(_found_rows(doc_[later], pos_[later], doc_[own][later], pos_[own][later], parts)))
             keep = order[~later]
             keep = keep[np.lexsort((pos[keep], doc[keep], group[keep]))]
             cuts = np.flatnonzero(np.r_[True, np.diff(group[keep]) > 0, True])
@@ -285,22 +241,22 @@ def repeats(
             for i, j in zip(cuts[:-1], cuts[1:]):
                 k = keep[i:j]
                 rows.append((int(group[k[0]]), _suffix_blob(name[k], doc[k], pos[k])))
-            yield _rows(0, rows)
+            yield blob_rows(0, rows)
 
     def subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (kind, key), blobs in _grouped(batches, True):
+        for (kind, key), blobs in grouped(batches, True):
             if kind:
-                yield _rows(1, [(key, blobs[0])])
+                yield blob_rows(1, [(key, blobs[0])])
                 continue
             name, doc, pos = _suffixes(blobs)
             order, own = _owned(name, doc, pos)
             doc, pos = doc[order], pos[order]
             later = doc != doc[own]
-            yield _rows(1, list(_found_rows(doc[later], pos[later], doc[own][later], pos[own][later], parts)))
+            yield blob_rows(1, list(_found_rows(doc[later], pos[later], doc[own][later], pos[own][later], parts)))
 
     def maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches, False):
-            doc, pos, odoc, opos = _columns(blobs, FOUND)
+        for _, blobs in grouped(batches, False):
+            doc, pos, odoc, opos = columns_of(blobs, FOUND)
             order = np.lexsort((opos, odoc, pos, doc))
             doc, pos, odoc, opos = doc[order], pos[order], odoc[order], opos[order]
             once = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]  # the smallest owner of each

@@ -357,3 +357,37 @@ def test_pipeline_is_its_stages(spark, tmp_path, rows):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in final} == {r["doc_id"] for r in docs.collect()}
     assert sum(r["length"] for r in final) == sum(len(packing._encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"))(r["text"])) + 1 for r in docs.collect())
+
+
+@pytest.mark.parametrize(("limit", "groups"), [(2048, 4_000_000), (3, 40)])
+def test_line_dedup_of_crowded_lists(spark, monkeypatch, limit, groups):
+    """Many lines around common passages, copies in one task and across tasks, repeated words, and one to four words."""
+    rng = random.Random(8)
+    passage = " ".join(f"common{k}" for k in range(40))
+    rows = []
+    for k in range(120):
+        lines = [f"{passage} {' '.join(f'own{rng.randrange(10**6)}' for _ in range(rng.randint(0, 14)))}" for _ in range(2)]
+        lines += ["a b a b a b a b c", "a b a b a b", "one", "one two three four", " one  two\tthree four ", "", " \t", f"x{k} y z"]
+        w = [f"near{i}" for i in range(30)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(30)] = f"other{rng.randrange(40)}"
+        lines.append(" ".join(w))
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    rows.append((500, "w" * 70 + " " + "é" * 50 + " short words behind long ones\n" + "w" * 70 + " " + "é" * 50 + " short words behind long ones"))
+    monkeypatch.setattr(line_dedup, "LIST", limit)
+    monkeypatch.setattr(line_dedup, "GROUP_WORDS", groups)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows).repartition(3)).collect()}
+    assert got == slow_lines(rows)[0]
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    words = ["", "a", "a\0", "aa", "b" * 8, "b" * 9, "b" * 64, "b" * 65, "é", "x" * 5000, *(f"w{k}" for k in range(20_000))]
+    got = line_dedup._hashed(pa.array(words))
+    assert len(set(got.tolist())) == len(words)
+    assert (line_dedup._hashed(pa.array(words)[5:]) == got[5:]).all()
+    bits = np.unpackbits(got.view(np.uint8)).reshape(-1, 64).mean(axis=0)
+    assert abs(bits - 0.5).max() < 0.03
