@@ -5,16 +5,18 @@ fingerprints.  Two fingerprints within ``radius`` bits differ by at most
 ``radius`` in every such coordinate, so a larger difference in any one discards
 the pair; survivors are verified bit by bit.
 
-The references are a base and its 64 neighbours (base with bit j inverted), and
-pseudo-random ones.  The coordinates for the base and its neighbours are dealt
-into groups of bits: ``radius`` differing bits touch at most ``radius`` groups,
-so a pair agrees in the coordinates of all the other groups.  Those agreeing
-coordinates are the join key (every choice of untouched groups is one key), and
-the coordinates for the pseudo-random references prune within a key.
+The first references are a base and its 64 neighbours (the base with bit j
+inverted).  A neighbour is nearer to a fingerprint than the base by one, or farther by
+one, so the differences of these 65 distances are 64 coordinates of 1 or -1, of
+which two fingerprints differ in as many as in bits.  They are dealt into groups:
+``radius`` differences touch at most ``radius`` groups, so a pair agrees in the
+coordinates of all the others, which are the join key (every choice of untouched
+groups is one).  Within a key the distances to pseudo-random references discard pairs
+by their largest difference.
 
 Equal fingerprints collapse before any pair is formed.  A key with more than
 ``BUCKET`` fingerprints is not compared pairwise: its members are linked
-exactly through shared one-bit neighbours (two words are within two bits if and
+exactly through their one-bit neighbours (two words are within two bits if and
 only if some word is within one bit of both).
 
 Defined results: a null, empty or blank text has fingerprint 0 and is linked
@@ -89,11 +91,46 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("id", id_col)
 
 
-def group_masks(radius: int, groups: int) -> list[int]:
-    """Bit mask of each choice of ``groups - radius`` of the groups."""
-    bits = np.array_split(np.arange(64), groups)
-    one = [sum(1 << int(b) for b in g) for g in bits]
-    return [sum(one[g] for g in chosen) for chosen in combinations(range(groups), groups - radius)]
+def neighbours(base: np.uint64) -> np.ndarray:
+    """A reference and the 64 that differ from it in one bit."""
+    return np.r_[base, base ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]
+
+
+def coordinates(fingerprints: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Distance to each neighbour of a reference less that to the reference itself: 1 or -1, by row and neighbour."""
+    table = distance_table(fingerprints, neighbours(base)).astype(np.int8)
+    return table[:, 1:] - table[:, :1]
+
+
+def key_groups(radius: int, groups: int) -> list[np.ndarray]:
+    """Places of the coordinates in each choice of ``groups - radius`` of the groups."""
+    one = np.array_split(np.arange(64), groups)
+    return [np.concatenate([one[g] for g in chosen]) for chosen in combinations(range(groups), groups - radius)]
+
+
+def keyed(distinct: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
+    """(k, fp): each fingerprint with the key of each choice of coordinates."""
+    base = references(1, seed=99)[0]
+    weight = references(64 * len(chosen), seed=7).reshape(len(chosen), 64) | np.uint64(1)
+    masks = np.zeros((len(chosen), 64), dtype=bool)
+    for n, places in enumerate(chosen):
+        masks[n, places] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            up = coordinates(fp, base) > 0
+            keys = []
+            for n in range(len(chosen)):  # a key packs its coordinates; its number keeps keys of other choices apart
+                bits = np.packbits(up[:, masks[n]], axis=1, bitorder="little")
+                packed = np.zeros((len(fp), 8), np.uint8)
+                packed[:, : bits.shape[1]] = bits
+                z = (packed.view("<u8").ravel() ^ weight[n, 0]) * weight[n, 1]
+                keys.append((z ^ (z >> np.uint64(29))) * weight[n, 2])
+            k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.tile(fp, len(chosen)).view(np.int64))], names=["k", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "k bigint, fp bigint")
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -188,35 +225,36 @@ def _walk(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterat
         yield from compared(key, fp)
 
 
+def _neighbour_edges(members: DataFrame, radius: int) -> DataFrame:
+    """Edges among crowded fingerprints (column ``a``), by the words within one bit of each."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(64)])
+    near = members.select("a", F.explode(F.transform(flips, lambda x: F.col("a").bitwiseXOR(x))).alias("mid"))
+    if radius == 1:
+        return near.filter("mid <> a").join(members.select(F.col("a").alias("mid")), "mid").select("a", F.col("mid").alias("b"))
+    stars = near.groupBy("mid").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
+    return near.join(stars.select("mid", "b"), "mid").filter("a <> b").select("a", "b")
+
+
 def links(distinct: DataFrame, radius: int = 2, groups: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect exactly what links within ``radius`` (at most 2) connect.
+    """Edges (a, b) that connect exactly what links within ``radius`` (1 or 2) connect.
 
     ``distinct`` has one row for each fingerprint, column ``fp``.  Rows per
     fingerprint are fixed by ``groups``; none holds a group of another key.
     """
+    if radius not in (1, 2):
+        raise ValueError(f"radius {radius}: crowded keys are linked exactly up to 2")
     spark = distinct.sparkSession
-    if groups is None:  # longer keys, and more of them, once 32 bits would be crowded
+    if groups is None:  # longer keys, and more of them, once 32 coordinates would be crowded
         groups = radius + (2 if distinct.count() < 1 << 28 else 4)
-    masks = group_masks(radius, groups)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    base = int(references(1, seed=99)[0])
-    # coordinates for the base and its neighbours, per choice of groups: the bits where fp and base differ there
-    keys = F.array(
-        *[F.xxhash64(F.lit(n), (F.col("fp").bitwiseXOR(F.lit(signed(base)))).bitwiseAND(F.lit(signed(m)))) for n, m in enumerate(masks)]
-    )
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("k", "fp")
-    rows = rows.repartition("k").sortWithinPartitions("k")
+    rows = keyed(distinct, key_groups(radius, groups)).repartition("k").sortWithinPartitions("k")
     found = stored(
         rows.mapInArrow(lambda batches: _walk(batches, radius, bucket), "a bigint, b bigint, large boolean"), "simhash-links"
     )
     small_batches(spark)
     large = found.filter("large").select("a").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(64)])
-    near = large.select("a", F.explode(F.transform(flips, lambda x: F.col("a").bitwiseXOR(x))).alias("mid"))
-    stars = near.groupBy("mid").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
-    star_edges = near.join(stars.select("mid", "b"), "mid").filter("a <> b").select("a", "b").distinct()
-    return found.filter("not large").select("a", "b").union(star_edges).distinct()
+    return found.filter("not large").select("a", "b").union(_neighbour_edges(large, radius)).distinct()
 
 
 def near_duplicates(
