@@ -6,9 +6,9 @@ gaps between kept anchors are aligned in the same way; a gap without anchors
 gives the equal words at its ends.  Coverage is the share of the template's
 words that are aligned.
 
-Regions come from the places of a template's words in the text: a word that the
-template has once proposes where the template would begin, and proposals near
-each other are one region, so a text may hold a license several times.
+Where in a text a template may lie is found by the longest chain of words that the
+template has once, in its order, wherever they stand; the text before and behind what
+was found is searched again, so a text may hold a license several times.
 
 Templates whose words a text lacks too many of are skipped: coverage can't be
 more than the words they share.  A template with key phrases (version, Lesser,
@@ -25,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +35,6 @@ from tablelog.llm.common import small_batches
 from tablelog.llm.license_texts import TEXTS
 
 COVERAGE = 0.8
-#: Regions reach this share of the template beyond it on both sides.
-SLACK = 0.25
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
@@ -207,15 +206,10 @@ class Matcher:
             need = self.coverage * len(own)
             if len(words) < need or sum(min(n, has[w]) for w, n in count.items()) < need:
                 continue
-            for a, b in self._regions(words, own, single):
-                pairs = patience(words[a:b], own)
-                if not pairs or len(pairs) < need:
-                    continue
-                start, end = a + pairs[0][0], a + pairs[-1][0] + 1
+            for start, end, places in self._occurrences(words, own, single, need):
                 if keys and not all(k in f" {' '.join(words[start:end])} " for k in keys):
                     continue
-                span = {"name": name, "start": start, "end": end, "coverage": len(pairs) / len(own)}
-                found.append((span, {a + p for p, _ in pairs}))
+                found.append(({"name": name, "start": start, "end": end, "coverage": len(places) / len(own)}, places))
         # the same words aligned to several templates are the one that explains most of them
         found.sort(key=lambda x: (-len(x[1]), -x[0]["coverage"], x[0]["name"]))
         kept: list[tuple[dict, set[int]]] = []
@@ -224,28 +218,36 @@ class Matcher:
                 kept.append((span, places))
         return sorted((span for span, _ in kept), key=lambda x: (x["start"], x["end"], x["name"]))
 
-    @staticmethod
-    def _regions(words: list[str], own: list[str], single: dict[str, int]) -> list[tuple[int, int]]:
-        """Disjoint parts of the text where the template may lie, cut between copies of it."""
-        slack = max(2, int(SLACK * len(own)))
-        starts = sorted(p - single[w] for p, w in enumerate(words) if w in single)
-        groups: list[list[int]] = []
-        for s in starts:
-            if groups and s - groups[-1][0] <= 2 * slack:
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        # a template needs most of its single words; fewer proposals are chance
-        groups = [g for g in groups if 2 * len(g) >= len(single)]
-        middles = [g[len(g) // 2] for g in groups]
-        out = []
-        for m in middles:
-            a, b = max(0, m - slack), min(len(words), m + len(own) + slack)
-            if out and a < out[-1][1]:
-                a = max(a, min(out[-1][1], m))
-                out[-1] = (out[-1][0], min(out[-1][1], a))
-            out.append((a, b))
-        return out
+    def _occurrences(self, words: list[str], own: list[str], single: dict[str, int], need: float) -> Iterator[tuple[int, int, set[int]]]:
+        """(start, end, aligned places) of each part of the text that covers enough of a template.
+
+        Of the template's single words, wherever they stand in a part of the text,
+        the longest chain in the template's order says where the template lies;
+        foreign words between them are as many as they are, and in proportion at the ends.  What it misses may be no
+        more than the template may lack.  A part is searched again on both sides of
+        what was found, or of the widest gap in a chain that came to nothing.
+        """
+        least = max(1, len(single) - (len(own) - need))
+        todo = [(0, len(words))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo < need:
+                continue
+            hits = [(p, single[words[p]]) for p in range(lo, hi) if words[p] in single]
+            chain = [hits[k] for k in _increasing([q for _, q in hits])]
+            if len(chain) < least:
+                continue
+            (p, q), (r, t) = chain[0], chain[-1]
+            rate = (r - p) / max(1, t - q)  # words of the text for a word of the template
+            a, b = max(lo, p - ceil(rate * q) - 2), min(hi, r + ceil(rate * (len(own) - t)) + 2)
+            pairs = patience(words[a:b], own)
+            if len(pairs) >= need:
+                start, end = a + pairs[0][0], a + pairs[-1][0] + 1
+                yield start, end, {a + k for k, _ in pairs}
+                todo += [(lo, start), (end, hi)]
+            elif len(chain) > 1:
+                cut = max(range(1, len(chain)), key=lambda k: chain[k][0] - chain[k - 1][0])
+                todo += [(lo, chain[cut - 1][0] + 1), (chain[cut][0], hi)]
 
 
 def scan_licenses(
