@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelog.workspace import check_local
+
 #: Word separators of the contracts: space and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -18,13 +20,14 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a laptop) a temporary folder is made
-    once for the session.
+    Where none is set in local mode (tests, a laptop) a temporary folder is made
+    once for the session; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("tablelog.shared.dir", None)
     if not named:
+        check_local(spark)
         named = "file://" + tempfile.mkdtemp(prefix="tablelog-")
         spark.conf.set("tablelog.shared.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -57,6 +57,40 @@ def test_simhash(docs, rows, none, repeated):
     assert simhash.near_duplicates(repeated).count() == 41
 
 
+def test_coordinates_are_distances_to_references():
+    fps = simhash.references(50, seed=3)
+    base = simhash.references(1, seed=99)[0]
+    got = simhash.coordinates(fps, base)
+    apart = lambda x, y: bin(int(x) ^ int(y)).count("1")
+    for n, x in enumerate(fps):
+        assert got[n].tolist() == [apart(x, int(base) ^ (1 << j)) - apart(x, base) for j in range(64)]
+        for m, y in enumerate(fps):  # as many differ as bits do
+            assert (got[n] != got[m]).sum() == apart(x, y)
+
+
+def test_simhash_query(spark, rows, tmp_path):
+    """The query's own columns against brute force, with repeated and null ids."""
+    own = rows + rows[:9] + [(None, rows[10][1]), (None, None)]
+    frame(spark, own).write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [slow_fingerprint(t) for _, t in own]
+    root = components(len(own), [(i, j) for i, j in combinations(range(len(own)), 2) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    least = {}
+    for (k, _), r in zip(own, root):
+        least[r] = min((x for x in (k, least.get(r)) if x is not None), default=None)
+    expected = sorted((str(k), f"{f:016x}", least[r]) for (k, _), f, r in zip(own, fps, root))
+    got = sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.op2_simhash(spark, str(tmp_path)).collect())
+    assert got == expected
+
+
+@pytest.mark.parametrize("bucket", [2048, 1])
+def test_links_keep_the_radius(spark, bucket):
+    far = spark.createDataFrame([(x,) for x in (0, 3, 7 << 40, (7 << 40) + 1, 12, 13, 9)], "fp long")
+    found = {r["node"]: r["root"] for r in connected_components(simhash.links(far, 1, bucket=bucket)).collect()}
+    assert 0 not in found and 3 not in found and found[(7 << 40) + 1] == 7 << 40 and found[13] == found[12] == found[9] == 9
+    with pytest.raises(ValueError):
+        simhash.links(far, 3)
+
+
 @pytest.mark.parametrize("bucket", [2048, 3])
 @pytest.mark.parametrize("groups", [4, 6])
 def test_links_of_crowded_keys(spark, bucket, groups):
@@ -135,17 +169,19 @@ def slow_lines(rows):
     return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in removed[k]) for k, t in rows}, {k: len(v) for k, v in removed.items()}
 
 
-def test_line_dedup(spark, docs, rows, none, repeated):
-    out = line_dedup.dedup_lines(docs, count_col="removed")
+@pytest.mark.parametrize("native", [False, True])
+def test_line_dedup(spark, docs, rows, none, repeated, native):
+    out = line_dedup.dedup_lines(docs, count_col="removed", native=native)
     assert out.columns == [*docs.columns, "removed"]
     got = {r["doc_id"]: (r["text"], r["removed"]) for r in out.collect()}
     texts, removed = slow_lines(rows)
     assert got == {k: (texts[k], removed[k]) for k, _ in rows} and sum(removed.values()) > 20
-    assert line_dedup.dedup_lines(none).count() == 0
-    assert line_dedup.dedup_lines(repeated).count() == 41
+    assert line_dedup.dedup_lines(none, native=native).count() == 0
+    assert line_dedup.dedup_lines(repeated, native=native).count() == 41
 
 
-def test_line_dedup_near_lines(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_line_dedup_near_lines(spark, native):
     rng = random.Random(2)
     base = [f"w{k}" for k in range(60)]
     lines = []
@@ -155,7 +191,7 @@ def test_line_dedup_near_lines(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(30)}"
         lines.append(" ".join(w))
     rows = [(k, "\n".join(lines[k * 3 : k * 3 + 3])) for k in range(20)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows), native=native).collect()}
     assert got == slow_lines(rows)[0]
 
 
@@ -284,9 +320,10 @@ def test_rows_of_one_id_are_judged_each(spark, rows):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
     assert got == sorted([("7", 66, 0), ("7", 3, 0), ("None", 60, 0), ("9", 61, 60), ("9", 61, 60), ("None", 3, 0), ("8", 0, 0), ("10", 11, 0)])
     # lines: rows are documents; nothing that stands in one row only is lost
-    out = line_dedup.dedup_lines(df, count_col="removed").collect()
-    left = [x for r in out for x in (r["text"] or "").split("\n")]
-    assert {x for _, t in own for x in (t or "").split("\n")} - set(left) <= {"q " + long, long + " tail"} and left.count("x y z") == 1
+    for native in (False, True):
+        out = line_dedup.dedup_lines(df, count_col="removed", native=native).collect()
+        left = [x for r in out for x in (r["text"] or "").split("\n")]
+        assert {x for _, t in own for x in (t or "").split("\n")} - set(left) <= {"q " + long, long + " tail"} and left.count("x y z") == 1
     strings = spark.createDataFrame([(f"id{k}", t) for k, t in rows], "doc_id string, text string")
     got = {r["doc_id"]: r["kept"] for r in substring_dedup.remove_repeats(strings).collect()}
     assert got == {f"id{k}": v[2] for k, v in slow_repeats(sorted(rows, key=lambda x: f"id{x[0]}")).items()} or len(got) == len(rows)

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablelog.llm import license_scan, packing, quality_classifier, quality_rules, secret_scan
@@ -50,9 +51,26 @@ def test_rule_order_changes_nothing(docs):
     a = quality_rules.apply_rules(docs, rules=rules).select("doc_id", "kept")
     b = quality_rules.apply_rules(docs, rules=rules[::-1]).select("doc_id", "kept")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    ordered = quality_rules.order_rules(docs, fraction=1.0)
-    rates = [(hits + 0.5) / seconds for _, seconds, hits in ordered]
-    assert rates == sorted(rates, reverse=True)
+    orders = [[(r.name, cost, hits) for r, cost, hits in quality_rules.order_rules(docs, rows=k)] for k in (10**6, 10**6, 40)]
+    assert orders[0] == orders[1] and sorted(x[0] for x in orders[2]) == sorted(r.name for r in rules)
+    assert all(cost > 0 for _, cost, _ in orders[0])
+
+
+def test_rules_that_repeat_another_come_last(spark):
+    """Rejections are counted among what the rules before leave."""
+    docs = spark.createDataFrame([(k, "ALL IN CAPITAL LETTERS " * 10 + str(k) if k % 2 else "some text of small letters " * 10) for k in range(40)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.regexp_replace("text", "(\\w+)", "$1" + "x"))  # no repeated windows matter here
+    capitals = quality_rules.RULES[1]
+    again = quality_rules.Rule("again", capitals.rejects, capitals.chars * 1.5)
+    none = quality_rules.Rule("none", lambda t, w: F.length(t) < 0, 0.1)
+    base = quality_rules.base_failed
+    try:
+        quality_rules.base_failed = lambda: F.lit(False)
+        out = quality_rules.order_rules(docs, rules=(again, none, capitals), rows=10**6)
+    finally:
+        quality_rules.base_failed = base
+    hits = {r.name: h for r, _, h in out}
+    assert hits["again"] == 0 and hits["none"] == 0 and [r.name for r, _, _ in out].index("again") > [r.name for r, _, _ in out].index("capitals")
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -112,6 +130,66 @@ def test_licenses_and_their_relatives():
     assert names(f"{t['MIT']} {t['BSD-3-Clause']}") == ["MIT", "BSD-3-Clause"]
 
 
+def common_words(a, b):
+    """Length of a longest common subsequence: no alignment has more pairs."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_among_foreign_words():
+    """Every way of hiding a template that leaves its words in order is found, and coverage is never more than it can be."""
+    rng = random.Random(5)
+    matcher = license_scan.Matcher()
+    foreign = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-header", "Apache-2.0-header"):
+        own = license_scan.words_of(license_scan.TEMPLATES[name])
+        k = len(own) // 2
+        hidden = {
+            "middle": own[:k] + foreign(90) + own[k:],
+            "after each": [x for w in own for x in (w, *foreign(1))],
+            "few lost": [w for w in own if rng.random() > 0.08],
+            "lost and foreign": [x for w in own if rng.random() > 0.08 for x in (w, *foreign(rng.randrange(3)))],
+            "many behind each tenth": [x for j, w in enumerate(own) for x in (w, *foreign(40 * (j % 10 == 9)))],
+        }
+        for way, middle in hidden.items():
+            text = foreign(300) + middle + foreign(300)
+            got = [x for x in matcher.licenses(" ".join(text)) if x["name"] == name]
+            keys = license_scan.KEYS.get(name, ())
+            if all(f" {k} " in f" {' '.join(middle)} " for k in keys):
+                assert len(got) == 1, (name, way)
+                most = common_words(middle, own) / len(own)
+                assert 0.8 <= got[0]["coverage"] <= most + 1e-9 and got[0]["coverage"] > most - 0.1
+                assert 300 <= got[0]["start"] < got[0]["end"] <= 300 + len(middle)
+    three = (" ".join(license_scan.words_of(license_scan.TEMPLATES["MIT"])) + " between them ") * 3
+    assert [x["name"] for x in matcher.licenses(three)] == ["MIT"] * 3
+
+
+def test_no_license_without_its_words():
+    """Texts of a template's words in another order, or too few of them, hold none: a longest common subsequence says so."""
+    rng = random.Random(6)
+    matcher = license_scan.Matcher()
+    for name in ("MIT", "ISC", "BSD-2-Clause"):
+        own = license_scan.words_of(license_scan.TEMPLATES[name])
+        for text in (rng.sample(own, len(own)), own[: int(0.75 * len(own))], own[len(own) // 3 :] + own[: len(own) // 3]):
+            got = [x for x in matcher.licenses(" ".join(text)) if x["name"] == name]
+            assert not got or common_words(text, own) >= 0.8 * len(own)
+
+
+def test_license_query_counts_its_spans(spark, tmp_path):
+    """The query's columns, with null, empty and repeated rows and clashing columns."""
+    mit = license_scan.TEMPLATES["MIT"]
+    rows = [(1, f"x y {mit}", "c"), (1, f"x y {mit}", "c"), (2, None, "c"), (3, "", "c"), (4, f"{mit} and {mit}\nReleased under the MIT License", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, licenses string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, license_scan.op7_license_scan(spark, str(tmp_path)).collect()))
+    n = len(license_scan.words_of(mit))
+    assert got[:2] == [(1, 1, f"MIT:2:{n + 2}")] * 2 and got[2:4] == [(2, 0, ""), (3, 0, "")]
+    assert got[4] == (4, 3, f"MIT:0:{n},MIT:{n + 1}:{2 * n + 1},MIT-notice:{2 * n + 1}:{2 * n + 6}")
+
+
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=12))
 def test_patience_pairs_increase(a, b):
     pairs = license_scan.patience(a, b)
