@@ -21,9 +21,8 @@ from tablelog.llm.common import let, words
 
 WINDOW = 8
 MIN_WORDS = 20
-#: Characters that count as symbols.
-SYMBOLS = "#*$%&|<>"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Runs of characters that count as symbols.
+SYMBOLS = "[#*$%&|<>]+"
 
 #: Private column names; documents may have columns of any other name.
 TEXT, WORDS, HASHES = "__qr_text", "__qr_words", "__qr_hashes"
@@ -32,7 +31,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` maps the text and word columns to a Boolean column.
+    """``rejects`` maps the text and word columns to a Boolean column; it may use the counts by their names.
 
     ``chars`` and ``words`` are what it costs for each character and word of a text, in ns.
     """
@@ -43,10 +42,6 @@ class Rule:
     words: float = 0.0
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def _letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^\\p{L}]+", ""))
 
@@ -55,17 +50,17 @@ def _capitals(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^\\p{Lu}]+", ""))
 
 
-#: Nanoseconds for each character that translate and regexp_replace pass over, and for each word of array_distinct, as
-#: measured once on one core.
-TRANSLATED, REPLACED, DISTINCT = 12.0, 12.0, 40.0
+#: Nanoseconds for each character that the patterns of letters and capitals pass over, and for each word of
+#: array_distinct, as measured once on one core.
+LETTERS, CAPITALS, DISTINCT = 13.0, 3.0, 100.0
 
 #: Thresholds are loose: each marks text that no prose of any language reaches.
 RULES = (
-    Rule("symbols", lambda t, w: F.lit(100) * (F.length(t) - _without(t, SYMBOLS)) > F.lit(8) * _without(t, SPACE_CHARS), 2 * TRANSLATED),
-    Rule("capitals", lambda t, w: F.lit(2) * _capitals(t) > _letters(t), 2 * REPLACED),
-    Rule("few_letters", lambda t, w: F.lit(2) * _letters(t) < _without(t, SPACE_CHARS), REPLACED + TRANSLATED),
-    Rule("long_words", lambda t, w: _without(t, SPACE_CHARS) > F.lit(40) * F.size(w), TRANSLATED),
-    Rule("short_words", lambda t, w: F.lit(2) * _without(t, SPACE_CHARS) < F.lit(3) * F.size(w), TRANSLATED),
+    Rule("symbols", lambda t, w: F.lit(100) * F.col("n_symbols") > F.lit(8) * F.col("word_chars")),
+    Rule("capitals", lambda t, w: F.lit(2) * _capitals(t) > _letters(t), LETTERS + CAPITALS),
+    Rule("few_letters", lambda t, w: F.lit(2) * _letters(t) < F.col("word_chars"), LETTERS),
+    Rule("long_words", lambda t, w: F.col("word_chars") > F.lit(40) * F.col("n_words")),
+    Rule("short_words", lambda t, w: F.lit(2) * F.col("word_chars") < F.lit(3) * F.col("n_words")),
     Rule("few_distinct_words", lambda t, w: F.lit(20) * F.size(F.array_distinct(w)) < F.size(w) - F.lit(2000), 0.0, DISTINCT),
 )
 
@@ -101,7 +96,7 @@ def _joined(hashes: Column, by: int) -> Column:
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the five counts as long columns, and the private text and word columns."""
-    lines = F.filter(F.split(F.col(TEXT), "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    lines = F.filter(F.split(F.col(TEXT), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     n = F.size(WORDS)
     hashes = F.when(
         n >= WINDOW,
@@ -115,8 +110,8 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": _without(F.col(TEXT), SPACE_CHARS).cast("long"),
-            "n_symbols": (F.length(TEXT) - _without(F.col(TEXT), SYMBOLS)).cast("long"),
+            "word_chars": F.length(F.array_join(F.col(WORDS), "")).cast("long"),
+            "n_symbols": (F.length(TEXT) - F.length(F.regexp_replace(TEXT, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": n_repeat_words(F.col(HASHES)),
         }
