@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablelog import schema as S
-from tablelog.sources.fs import join, plain
+from tablelog.sources.fs import plain
 from tablelog.sources.snapshot import Snapshot
 
 
@@ -51,9 +50,9 @@ def estimate(snapshot: Snapshot, predicate=None) -> int | None:
     """Rows by the statistics of the files that skipping keeps; deleted rows count.  None if some file has none."""
     from tablelog.plans.skipping import Bounds, keep
 
-    files = snapshot.files
-    if predicate is not None and (test := keep(predicate, Bounds(snapshot.schema, snapshot.partition_columns, snapshot.mapping_mode))) is not None:
-        files = files.filter(F.coalesce(test, F.lit(True)))
+    files, bounds = snapshot.files, Bounds(snapshot.schema, snapshot.partition_columns, snapshot.mapping_mode)
+    if predicate is not None and (test := keep(predicate, bounds)) is not None:
+        files = bounds.files(files, test)
     n = F.from_json("stats", "numRecords bigint")["numRecords"]
     files_n, known, total = files.agg(F.count("*"), F.count(n), F.sum(n)).first()
     return 0 if not files_n else int(total) if known == files_n else None
@@ -64,11 +63,3 @@ def describe(snapshot: Snapshot) -> DataFrame:
     parts = set(snapshot.partition_columns)
     rows = [(f.name, f.dataType.simpleString(), f.nullable, f.name in parts) for f in snapshot.schema.fields]
     return snapshot.spark.createDataFrame(rows, "column_name string, column_type string, nullable boolean, is_partition boolean")
-
-
-def path_of(snapshot: Snapshot, path: str) -> str:
-    return plain(join(snapshot.root, path))
-
-
-def empty(spark, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))

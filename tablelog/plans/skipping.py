@@ -12,7 +12,7 @@ import decimal
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,11 +52,16 @@ class Or:
 
 
 class Bounds:
-    """Columns over the files of a snapshot that give statistics and partition values."""
+    """Expressions over the files of a snapshot that give statistics and partition values, as SQL text.
+
+    Text is one call into the JVM however long it is.  ``files`` parses the
+    statistics that were asked for, all in one pass over each file's JSON.
+    """
 
     def __init__(self, schema: T.StructType, partition_columns: list[str], mode: str):
         self.mode, self.schema = mode, schema
         self.partitions = {c.lower() for c in partition_columns}
+        self.asked: dict = {}
 
     def resolve(self, path: tuple[str, ...]) -> tuple[list[T.StructField], bool] | None:
         """Fields along a path, and whether it is a partition column; names match in any case."""
@@ -71,38 +76,62 @@ class Bounds:
             t = f.dataType
         return found, len(path) == 1 and path[0].lower() in self.partitions
 
-    def partition(self, f: T.StructField) -> Column:
-        raw = F.element_at("partition_values", F.lit(S.physical_name(f, self.mode)))
-        return F.nullif(raw, F.lit("")).cast(f.dataType)
+    def partition(self, f: T.StructField) -> str:
+        return f"cast(nullif(element_at(partition_values, {_text(S.physical_name(f, self.mode))}), '') AS {f.dataType.simpleString()})"
 
-    def stat(self, kind: str, fields: list[T.StructField], kind_type: T.DataType) -> Column:
+    def stat(self, kind: str, fields: list[T.StructField], t: T.DataType) -> str:
         """A value from the statistics' JSON, typed; null where there is none."""
-        t: T.DataType = kind_type
-        for f in reversed(fields):
-            t = T.StructType([T.StructField(S.physical_name(f, self.mode), t)])
-        out = F.from_json("stats", T.StructType([T.StructField(kind, t)]))[kind]
-        for f in fields:
-            out = out[S.physical_name(f, self.mode)]
-        return out
+        path = [kind, *(S.physical_name(f, self.mode) for f in fields)]
+        at = self.asked
+        for name in path[:-1]:
+            at = at.setdefault(name, {})
+        at[path[-1]] = t
+        return ".".join(_name(n) for n in ("__stats", *path))
+
+    def flag(self, name: str, t: T.DataType) -> str:
+        return self.stat(name, [], t)
+
+    def files(self, files: DataFrame, test: str) -> DataFrame:
+        """The files that a test doesn't rule out."""
+        if self.asked:
+            files = files.withColumn("__stats", F.from_json("stats", _struct(self.asked)))
+        return files.filter(f"coalesce({test}, true)").drop("__stats")
+
+
+def _struct(asked: dict) -> T.StructType:
+    return T.StructType([T.StructField(n, _struct(x) if isinstance(x, dict) else x) for n, x in asked.items()])
 
-    def flag(self, name: str, t: str) -> Column:
-        return F.from_json("stats", f"{name} {t}")[name]
+
+def _name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    """A string literal, whatever characters it has."""
+    plain = value.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + "".join(c if c.isprintable() else f"\\u{ord(c):04x}" if ord(c) < 0x10000 else f"\\U{ord(c):08x}" for c in plain) + "'"
 
 
 _SKIPPED_TYPES = (T.TimestampType, T.TimestampNTZType, T.BinaryType, T.VariantType, T.StructType, T.ArrayType, T.MapType)
 _SWAP = {"<": "minValues", "<=": "minValues", ">": "maxValues", ">=": "maxValues"}
 
 
-def _literal(v: object, t: T.DataType) -> Column:
+def _literal(v: object) -> str:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, int):
+        return str(v) if -(1 << 63) < v < 1 << 63 else f"{v}BD"
     if isinstance(v, decimal.Decimal):
-        return F.lit(v)
-    if isinstance(v, (datetime.date, str, bool, int, float)):
-        return F.lit(v)
-    return F.lit(v).cast(t)
+        return f"{v:f}BD"
+    if isinstance(v, float):
+        return f"cast('{v!r}' AS DOUBLE)"
+    if isinstance(v, datetime.date):
+        return f"DATE '{v.isoformat()}'"
+    return _text(str(v))
 
 
-def _compared(a: Column, op: str, b: Column) -> Column:
-    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b, "!=": a != b}[op]
+def _compared(a: str, op: str, b: str) -> str:
+    return f"({a} {op} {b})"
 
 
 def _literal_fits(v: object, t: T.DataType) -> bool:
@@ -118,75 +147,57 @@ def _literal_fits(v: object, t: T.DataType) -> bool:
     return isinstance(v, str) and isinstance(t, T.StringType)
 
 
-def _keep_compare(c: Compare, b: Bounds) -> Column | None:
+def _keep_compare(c: Compare, b: Bounds) -> str | None:
     found = b.resolve(c.path)
     if found is None:
         return None
     fields, partition = found
     t = fields[-1].dataType
+    values = c.value if c.op == "in" else (c.value,)
     if partition:
         value = b.partition(fields[-1])
         if c.op in ("null", "not_null"):
-            return value.isNull() if c.op == "null" else value.isNotNull()
-        if isinstance(t, _SKIPPED_TYPES):
-            return None
-        values = c.value if c.op == "in" else (c.value,)
-        if not all(_literal_fits(v, t) for v in values):
+            return f"({value} IS {'NOT ' * (c.op == 'not_null')}NULL)"
+        if isinstance(t, _SKIPPED_TYPES) or not all(_literal_fits(v, t) for v in values):
             return None
-        test = [_compared(value, "=" if c.op == "in" else c.op, _literal(v, t)) for v in values]
-        out = test[0]
-        for x in test[1:]:
-            out = out | x
-        return F.coalesce(out, F.lit(False))
+        return f"coalesce({_any(_compared(value, '=' if c.op == 'in' else c.op, _literal(v)) for v in values)}, false)"
     if isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
         return None
-    nulls, rows = b.stat("nullCount", fields, T.LongType()), b.flag("numRecords", "bigint")
-    tight = F.coalesce(b.flag("tightBounds", "boolean"), F.lit(True))
+    nulls, rows = b.stat("nullCount", fields, T.LongType()), b.flag("numRecords", T.LongType())
+    loose = f"NOT coalesce({b.flag('tightBounds', T.BooleanType())}, true)"
     if c.op == "null":
-        return ~tight | (nulls > 0)
+        return f"({loose} OR {nulls} > 0)"
     if c.op == "not_null":
-        return ~tight | (nulls < rows)
-    if isinstance(t, _SKIPPED_TYPES):
+        return f"({loose} OR {nulls} < {rows})"
+    if isinstance(t, _SKIPPED_TYPES) or not all(_literal_fits(v, t) for v in values):
         return None
     low, high = b.stat("minValues", fields, t), b.stat("maxValues", fields, t)
-    some = F.coalesce(nulls < rows, F.lit(True))  # no comparison holds where all is null
     if c.op in _SWAP:
-        if not _literal_fits(c.value, t):
-            return None
-        return some & _compared(low if _SWAP[c.op] == "minValues" else high, c.op, _literal(c.value, t))
-    values = c.value if c.op == "in" else (c.value,)
-    if not all(_literal_fits(v, t) for v in values):
-        return None
-    if c.op == "!=":
-        v = _literal(c.value, t)
-        out = ~((low == v) & (high == v))
-        return some & (out | (F.length(low) >= CUT_LENGTH) if isinstance(t, T.StringType) else out)
-    out = None
-    for v in values:
-        own = (low <= _literal(v, t)) & (high >= _literal(v, t))
-        out = own if out is None else out | own
-    return some & out
-
-
-def keep(predicate, bounds: Bounds) -> Column | None:
-    """Column that is false for files without a match, or None if nothing can be skipped."""
+        test = _compared(low if _SWAP[c.op] == "minValues" else high, c.op, _literal(c.value))
+    elif c.op == "!=":
+        v = _literal(c.value)
+        test = f"NOT ({low} = {v} AND {high} = {v})" + (f" OR length({low}) >= {CUT_LENGTH}" if isinstance(t, T.StringType) else "")
+    else:
+        test = _any(f"({low} <= {_literal(v)} AND {high} >= {_literal(v)})" for v in values)
+    # no comparison holds where all is null
+    return f"(coalesce({nulls} < {rows}, true) AND ({test}))"
+
+
+def _any(tests) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+def keep(predicate, bounds: Bounds) -> str | None:
+    """Expression that is false for files without a match, or None if nothing can be skipped."""
     if isinstance(predicate, Compare):
         return _keep_compare(predicate, bounds)
     parts = [keep(p, bounds) for p in predicate.parts]
     if isinstance(predicate, Or):
         if any(p is None for p in parts) or not parts:
             return None
-        out = F.coalesce(parts[0], F.lit(True))
-        for p in parts[1:]:
-            out = out | F.coalesce(p, F.lit(True))
-        return out
-    own = [F.coalesce(p, F.lit(True)) for p in parts if p is not None]
-    if not own:
-        return None
-    out = own[0]
-    for p in own[1:]:
-        out = out & p
-    return out
+        return _any(f"coalesce({p}, true)" for p in parts)
+    own = [f"coalesce({p}, true)" for p in parts if p is not None]
+    return f"({' AND '.join(own)})" if own else None
 
 
 def stats_json(n: int, nulls: dict, lows: dict, highs: dict, has_stats: bool = True) -> str:

@@ -28,6 +28,11 @@ from tablelog.sources.snapshot import Snapshot
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Virtual columns on demand.
 VIRTUAL = ("filename", "file_row_number", "rowid", "file_number", "delta_file_number")
+# Names of parquet readers' options.  The log says what they would say.
+PARQUET_OPTIONS = {
+    "can_have_nan", "compression", "debug_use_openssl", "encryption_config", "explicit_cardinality", "hive_partitioning", "hive_types",
+    "hive_types_autocast", "parquet_version", "union_by_name",
+}
 #: Files of one reader; more are united, so that no single listing grows too long.
 READER_FILES = 10_000
 
@@ -54,7 +59,7 @@ def prune(snapshot: Snapshot, predicate=None, count: bool = True) -> Pruned:
     bounds = Bounds(snapshot.schema, snapshot.partition_columns, snapshot.mapping_mode)
     test = keep(predicate, bounds) if predicate is not None else None
     if test is not None:
-        found = files.filter(F.coalesce(test, F.lit(True))).collect()
+        found = bounds.files(files, test).collect()
     else:
         found = snapshot.local_files if snapshot.local_files is not None else files.collect()
     rows = sorted(found, key=lambda r: (r["path"], r["dv_id"] or ""))
@@ -117,8 +122,14 @@ def scan_snapshot(
     hive = bool(parts) and pushdown_partition_info and _hive(snapshot, rows)
     data_only = T.StructType([p for p, f in zip(physical.fields, snapshot.schema.fields) if f.name not in parts or hive])
     with_dv = [r for r in rows if r["dv"] is not None]
+    if with_dv and len(with_dv) < len(rows) and not {"file_number", "delta_file_number", "rowid"} & set(virtual):
+        # only rows of files with a vector are compared with deleted ones
+        groups = [r for r in rows if r["dv"] is None], with_dv
+        parts_of = [Pruned(g, None, len(g)) for g in groups]
+        plain, marked = (scan_snapshot(snapshot, None, g, virtual, pushdown_partition_info, constant_file_number) for g in parts_of)
+        return plain.unionByName(marked)
     for_join = bool(parts) and not hive or bool({"file_number", "delta_file_number", "rowid"} & set(virtual))
-    columns = S.logical_columns(snapshot.schema, mode)
+    names = [f.name for f in snapshot.schema.fields]
     if not rows:
         empty = spark.createDataFrame([], T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in snapshot.schema.fields]))
         return empty.select("*", *[F.lit(None).cast("string" if v == "filename" else "bigint").alias(v) for v in virtual])
@@ -131,8 +142,10 @@ def scan_snapshot(
         df = df.join(_deleted(snapshot, with_dv), (F.col("__file") == F.col("file_key")) & (F.col("__row") == F.col("row_index")), "left_anti")
     if for_join:
         df = df.join(_constants(snapshot, fs, rows, [] if hive else sorted(parts)), F.col("__file") == F.col("__key"))
-    out = df.select(*columns, *[_virtual(v, constant_file_number).alias(v) for v in virtual])
-    return out
+    if mode == "none" and not virtual and df.columns == names:
+        return df
+    columns = names if mode == "none" and not any("`" in n or "." in n for n in names) else S.logical_columns(snapshot.schema, mode)
+    return df.select(*columns, *[_virtual(v, constant_file_number).alias(v) for v in virtual])
 
 
 def _nullable(t: T.DataType) -> T.DataType:
@@ -182,14 +195,17 @@ def _deleted(snapshot: Snapshot, rows: Sequence) -> DataFrame:
         if dv["storageType"] == "i":
             inline.append((key, dv["pathOrInlineDv"], None, None))
         else:
-            stored.append((key, _uri(fs, DV.file_of(snapshot.root, dv["storageType"], dv["pathOrInlineDv"])), dv["offset"] or 0))
+            stored.append((key, _uri(fs, DV.file_of(snapshot.root, dv["storageType"], dv["pathOrInlineDv"])), dv["offset"] or 0, dv["sizeInBytes"]))
     schema = "file_key string, inline string, content binary, offset int"
     vectors = spark.createDataFrame(inline, schema)
     if stored:
-        wanted = spark.createDataFrame(stored, "file_key string, __dv string, offset int")
+        wanted = spark.createDataFrame(stored, "file_key string, __dv string, offset int, size int")
         files = sorted({s[1] for s in stored})
         content = spark.read.format("binaryFile").load([glob_escaped(f) for f in files]).select(_file_key(F.col("path")).alias("__dv"), "content")
-        vectors = vectors.unionByName(wanted.join(content, "__dv").select("file_key", F.lit(None).cast("string").alias("inline"), "content", "offset"))
+        # a file holds many vectors: each takes its own bytes of it, between its size and its checksum
+        own = F.substring("content", F.col("offset") + 1, F.col("size") + 8)
+        taken = wanted.join(content, "__dv").select("file_key", F.lit(None).cast("string").alias("inline"), own.alias("content"), F.lit(0).alias("offset"))
+        vectors = vectors.unionByName(taken)
     return vectors.mapInArrow(DV.positions, "file_key string, row_index bigint")
 
 
@@ -205,11 +221,21 @@ def scan(
     """Rows of the table at ``path``: ``where`` skips files and filters rows.
 
     Options are those of :func:`scan_snapshot`; ``filename`` and
-    ``file_row_number`` set to true add these virtual columns.
+    ``file_row_number`` set to true add these virtual columns, ``binary_as_string`` gives binary
+    columns as strings, and other options of parquet readers are taken without effect.
     """
+    as_string = bool(options.pop("binary_as_string", False))
+    unknown = set(options) - {"virtual", "filename", "file_row_number", "pushdown_partition_info", "constant_file_number"} - PARQUET_OPTIONS
+    if unknown:
+        raise InvalidInput(f"unknown options: {sorted(unknown)}")
+    options = {k: v for k, v in options.items() if k not in PARQUET_OPTIONS}
     virtual = [*options.pop("virtual", ()), *[v for v in ("filename", "file_row_number") if options.pop(v, False)]]
     mode = mode_of(pushdown_filters)
     snapshot = Snapshot.load(spark, path, version, log_tail=log_tail)
     predicate = catalyst.parse(spark, where) if where and mode in ("all", "constant_only") else And(())
     df = scan_snapshot(snapshot, predicate, virtual=list(dict.fromkeys(virtual)), **options)
-    return df.filter(where) if where else df
+    df = df.filter(where) if where else df
+    if as_string:
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if isinstance(t, T.BinaryType) else F.col(f"`{c}`") for c, t in kinds.items()])
+    return df

@@ -99,6 +99,13 @@ def _azure(path: str, secret: dict) -> dict[str, str]:
             f"fs.azure.account.oauth2.client.endpoint.{end}": f"https://login.microsoftonline.com/{secret.get('tenant_id', '')}/oauth2/token",
         }
     if provider == "credential_chain":
+        chain = [x.strip() for x in secret.get("chain", "").split(";") if x.strip()]
+        if "cli" in chain:  # Hadoop has no provider for the command line's login: the cluster may bring a class of its own
+            if not secret.get("token_provider"):
+                raise InvalidInput("the chain 'cli' needs the secret's token_provider: a token provider class on the cluster's class path")
+            return {f"fs.azure.account.auth.type.{end}": "Custom", f"fs.azure.account.oauth.provider.type.{end}": secret["token_provider"]}
+        if "workload_identity" in chain:
+            return {f"fs.azure.account.auth.type.{end}": "OAuth", f"fs.azure.account.oauth.provider.type.{end}": "org.apache.hadoop.fs.azurebfs.oauth2.WorkloadIdentityTokenProvider"}
         return {
             f"fs.azure.account.auth.type.{end}": "OAuth",
             f"fs.azure.account.oauth.provider.type.{end}": "org.apache.hadoop.fs.azurebfs.oauth2.MsiTokenProvider",

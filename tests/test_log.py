@@ -159,3 +159,42 @@ def test_log_tail(spark, root):
     assert rows(scan(spark, root, log_tail=tail)) == [(5,)]
     with pytest.raises(InvalidInput):
         scan(spark, root, log_tail=[{"file_name": name}])
+
+
+def test_checkpoint_in_parts(spark, root, monkeypatch):
+    from tablelog.operators import checkpoint
+
+    s = appended(spark, root, [1], [2], [3], [4], [5])
+    monkeypatch.setattr(checkpoint, "PART_FILES", 2)
+    assert checkpoint.write_checkpoint(s.snapshot("t")) and not checkpoint.write_checkpoint(s.snapshot("t"))
+    log = f"{local(root)}/_delta_log"
+    assert sorted(n for n in os.listdir(log) if n.endswith(".parquet")) == [f"{5:020d}.checkpoint.{k:010d}.{3:010d}.parquet" for k in (1, 2, 3)]
+    for v in range(6):
+        os.remove(f"{log}/{v:020d}.json")
+    assert rows(scan(spark, root)) == [(k,) for k in range(1, 6)] and Snapshot.load(spark, root).file_count == 5
+
+
+def test_files_without_vectors_are_not_compared(spark, root):
+    """Some files have vectors, two of them in one vector file; row numbers and file names stay."""
+    frames = [spark.createDataFrame([(10 * k + x,) for x in range(10)], I).coalesce(1) for k in range(4)]
+    X.publish(spark, root, 0, [
+        X.protocol("deletionVectors"), X.metadata(I), X.data_file(frames[0], root, "a.parquet"), X.data_file(frames[1], root, "b.parquet", None, None, X.inline_vector(np.array([0, 9]))),
+        X.data_file(frames[2], root, "c.parquet"), X.data_file(frames[3], root, "d.parquet", None, None, X.stored_vector(spark, root, np.arange(5), bytes(range(16)))),
+    ])
+    kept = [*range(10), *range(11, 19), *range(20, 30), *range(35, 40)]
+    assert rows(scan(spark, root)) == [(k,) for k in kept]
+    got = scan(spark, root, virtual=["file_row_number"]).collect()
+    assert sorted(map(tuple, got)) == [(k, k % 10) for k in kept]
+    plan = scan(spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    assert sorted(r[0] for r in scan(spark, root, virtual=["file_number"]).collect()) == kept
+
+
+def test_table_made_anew_at_a_path(spark, root):
+    """A snapshot that is known isn't the base of another table at its place."""
+    import shutil
+
+    appended(spark, root, [1], [2]).sql("SELECT * FROM t").collect()
+    shutil.rmtree(local(root))
+    again = appended(spark, root, [7], [8], [9])
+    assert sorted(r[0] for r in again.sql("SELECT * FROM t").collect()) == [7, 8, 9]

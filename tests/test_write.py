@@ -351,3 +351,39 @@ def test_create_as_on_attached_names(spark, root):
         with pytest.raises(Unsupported):
             s.sql(text)
     assert not spark.catalog.tableExists("t")
+
+
+def test_parent_catalog_publishes(spark, root):
+    """Commits go to the named catalog with the table's id; a child catalog is its one table by any name."""
+    create_table(spark, root, I, features=["catalogManaged"])
+    asked = []
+
+    def publish(table_id, staged, version):
+        asked.append((table_id, version))
+        return Fs(spark).put_if_absent(f"{root}/_delta_log/{version:020d}.json", Fs(spark).read(staged))
+
+    s = Session(spark, catalogs={"uc": publish})
+    s.attach(root, "t", parent_commit=True, parent_catalog="uc", unity_table_id="id-7", child_catalog_mode=True)
+    s.sql("INSERT INTO t VALUES (1)")
+    s.sql("INSERT INTO t.main.whatever VALUES (2)")
+    assert asked == [("id-7", 1), ("id-7", 2)] and s.sql("SELECT sum(i) AS x FROM t.main.other").first()["x"] == 3
+    with pytest.raises(CatalogError):
+        s.attach(root, "u", parent_commit=True, parent_catalog="none")
+
+
+def test_reader_options(spark, root):
+    create_table(spark, root, T.StructType([T.StructField("b", T.BinaryType()), T.StructField("i", T.LongType())]))
+    with Transaction(Snapshot.load(spark, root)) as tx:
+        tx.insert(spark.createDataFrame([(bytearray(b"xy"), 1)], "b binary, i long"))
+    assert scan(spark, root, binary_as_string=True, union_by_name=True, where="i = 1").collect() == [("xy", 1)]
+    with pytest.raises(InvalidInput):
+        scan(spark, root, schema="i int")
+
+
+def test_azure_chains():
+    options = lambda chain, **more: storage.hadoop_options("abfss://c@a.dfs.core.windows.net/x", {"provider": "credential_chain", "chain": chain, **more})
+    name = "fs.azure.account.oauth.provider.type.a.dfs.core.windows.net"
+    assert "Workload" in options("workload_identity")[name] and "Msi" in options("")[name]
+    assert options("cli;env", token_provider="org.example.Cli")[name] == "org.example.Cli"
+    with pytest.raises(InvalidInput, match="token_provider"):
+        options("cli")
