@@ -21,6 +21,7 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

@@ -121,3 +121,33 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """Matches of each rule between two marks, so that the lengths of what stands before give their places."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({quoted(r.kind)}, {k}, {quoted(r.pattern)}, {quoted(r.accepts)}, {r.kind in BASE})" for k, r in enumerate(RULES))
+    return f"""
+WITH r(kind, ord, pattern, accepts, base) AS (VALUES {rules}),
+t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+  SELECT doc_id, r.*, string_split(regexp_replace(t, '(' || pattern || ')', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS p FROM t, r
+), i AS (
+  SELECT *, unnest(range(2, len(p) + 1)) AS i FROM p WHERE len(p) > 1
+), m AS (
+  SELECT doc_id, kind, ord, accepts, base, split_part(p[i], chr(57345), 1) AS found,
+    list_sum(list_transform(p[1:i - 1], lambda x: length(replace(x, chr(57345), ''))))::BIGINT AS s FROM i
+), k AS (
+  SELECT doc_id, kind, ord, base, s, kind || ':' || s || ':' || (s + length(found)) AS span FROM m WHERE accepts = '' OR regexp_full_match(found, accepts)
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, ord) FILTER (WHERE base) AS own, string_agg(span, ',' ORDER BY s, ord) AS spans
+  FROM k GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()
