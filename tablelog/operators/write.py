@@ -8,6 +8,7 @@ import json
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -24,6 +25,8 @@ from tablelog.sources.snapshot import LOG_DIR, READER_FEATURES, Snapshot, commit
 
 #: Longer strings give no bounds.
 LONGEST_BOUND = 1024
+#: Files that are moved at the same time.
+PLACED_AT_ONCE = 16
 #: Columns with statistics in one pass over the written files.
 STATS_COLUMNS = 200
 
@@ -166,7 +169,9 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
         check_not_null(written, required, table)
         stats = file_stats(written.select("*", "_metadata"), snapshot.schema, parts)
         values = _partition_values(fs, staging, parts)
-        for uri, (rows, text) in sorted(stats.items()):
+
+        def place(uri: str, rows: int, text: str) -> None:
+            """Move a staged file to its folder, under a name that no other has."""
             source = fs.path(fs.jvm.java.net.URI(uri).getPath()) if uri.startswith("file:") else fs.path(uri)
             relative = source.toString().split(f"/{staging.rsplit('/', 1)[-1]}/", 1)[1]
             folder = relative.rpartition("/")[0]
@@ -183,6 +188,11 @@ def write_files(df: DataFrame, snapshot: Snapshot, table: str) -> list[Added]:
                 "stats": text,
             }
             added.append(Added(f"{root}/{target}", action, rows))
+
+        with ThreadPoolExecutor(PLACED_AT_ONCE) as pool:
+            for moved in [pool.submit(place, uri, rows, text) for uri, (rows, text) in stats.items()]:
+                moved.result()
+        added.sort(key=lambda a: a.path)
     except BaseException:
         discard(fs, added)
         raise

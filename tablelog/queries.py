@@ -24,7 +24,7 @@ from tablelog.operators.transaction import Transaction
 from tablelog.operators.write import create_table
 from tablelog.session import Session
 from tablelog.sources.fs import Fs
-from tablelog.sources.scan import scan
+from tablelog.sources.scan import scan, scan_snapshot
 from tablelog.sources.snapshot import LOG_DIR, Snapshot, commit_name
 from tablelog.streaming.sink import append_once
 from tablelog.workspace import scratch
@@ -329,7 +329,8 @@ def incremental_snapshot(spark, sf_dir):
     path = _versions(spark, sf_dir)
     old = Snapshot.load(spark, path, 1)
     new = Snapshot.load(spark, path, 3, previous=old)
-    return spark.createDataFrame([(old.version, old.files.count(), new.version, new.files.count())], "a bigint, a_files bigint, b bigint, b_files bigint").select("a", "b")
+    rows = [scan_snapshot(x).agg(F.lit(x.version).cast("bigint").alias("version"), F.count("*").alias("n"), F.max("o_orderkey").alias("high")) for x in (old, new)]
+    return rows[0].union(rows[1])
 
 
 _THIRD = "(SELECT * FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) + {k} * ((max(o_orderkey) - min(o_orderkey)) // 3 + 1) FROM orders))"
@@ -748,7 +749,7 @@ _FUNCTIONS = {
     "time_travel": (time_travel, f"SELECT count(*) AS n, max(o_orderkey) AS high FROM {_THIRD.format(k=1)}"),
     "time_travel_empty": (time_travel_empty, "SELECT 0::BIGINT AS n"),
     "pinned_version": (pinned_version, f"SELECT count(*) AS n FROM {_THIRD.format(k=2)}"),
-    "incremental_snapshot": (incremental_snapshot, "SELECT 1::BIGINT AS a, 3::BIGINT AS b"),
+    "incremental_snapshot": (incremental_snapshot, f"SELECT 1::BIGINT AS version, count(*) AS n, max(o_orderkey) AS high FROM {_THIRD.format(k=1)} UNION ALL SELECT 3, count(*), max(o_orderkey) FROM orders"),
     "mapped_by_name": (mapped_by_name, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
     "mapped_by_id": (mapped_by_id, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2"),
     "schema_add_and_widen": (schema_add_and_widen, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name, NULL::DOUBLE AS extra FROM region UNION ALL SELECT r_regionkey + 10, r_name, r_regionkey / 2.0 FROM region"),

@@ -27,12 +27,14 @@ from tablelog.sources.snapshot import Snapshot
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Virtual columns on demand.
-VIRTUAL = ("filename", "file_row_number", "rowid", "file_number", "delta_file_number")
+VIRTUAL = ("filename", "file_row_number", "rowid", "file_number", "delta_file_number", "file_index")
 # Names of parquet readers' options.  The log says what they would say.
 PARQUET_OPTIONS = {
     "can_have_nan", "compression", "debug_use_openssl", "encryption_config", "explicit_cardinality", "hive_partitioning", "hive_types",
     "hive_types_autocast", "parquet_version", "union_by_name",
 }
+#: Virtual columns made of a file's number; file_index is that number by another name.
+_NUMBERED = {"file_number", "delta_file_number", "file_index", "rowid"}
 #: Files of one reader; more are united, so that no single listing grows too long.
 READER_FILES = 10_000
 
@@ -122,13 +124,13 @@ def scan_snapshot(
     hive = bool(parts) and pushdown_partition_info and _hive(snapshot, rows)
     data_only = T.StructType([p for p, f in zip(physical.fields, snapshot.schema.fields) if f.name not in parts or hive])
     with_dv = [r for r in rows if r["dv"] is not None]
-    if with_dv and len(with_dv) < len(rows) and not {"file_number", "delta_file_number", "rowid"} & set(virtual):
+    if with_dv and len(with_dv) < len(rows) and not _NUMBERED & set(virtual):
         # only rows of files with a vector are compared with deleted ones
         groups = [r for r in rows if r["dv"] is None], with_dv
         parts_of = [Pruned(g, None, len(g)) for g in groups]
         plain, marked = (scan_snapshot(snapshot, None, g, virtual, pushdown_partition_info, constant_file_number) for g in parts_of)
         return plain.unionByName(marked)
-    for_join = bool(parts) and not hive or bool({"file_number", "delta_file_number", "rowid"} & set(virtual))
+    for_join = bool(parts) and not hive or bool(_NUMBERED & set(virtual))
     names = [f.name for f in snapshot.schema.fields]
     if not rows:
         empty = spark.createDataFrame([], T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in snapshot.schema.fields]))

@@ -206,6 +206,8 @@ def test_names_are_resolved_by_scope(spark, root):
     assert one("SELECT count(*) FROM nation AT (VERSION => 0) v, orders AT (VERSION => 1)") == 0
     assert one("SELECT count(*) FROM orders AS o(k) WHERE k > 2") == 2
     assert one("SELECT sum(nation) FROM (SELECT i AS nation FROM orders) nation") == 10
+    assert "FileScan parquet" in one("EXPLAIN SELECT * FROM nation WHERE i > 1")
+    assert one("SELECT count(*) FROM (SELECT i FROM nation UNION ALL SELECT i FROM orders) u JOIN nation USING (i)") == 6
     s.use("nation")
     assert one("SELECT count(*) FROM main.nation") == 3
     s.detach("nation")
