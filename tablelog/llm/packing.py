@@ -369,7 +369,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
     if len(rows) <= most_ranges(capacity):
         places = F.broadcast(places)
     own = Window.partitionBy("length", "__part").orderBy(pieces.columns[0], "piece")
-    ranked = keyed.withColumn("__own", F.row_number().over(own) - 1).join(by_part.drop("n"), ["length", "__part"])
+    # both are dealt and sorted by these columns for the window already; the parts grow with the corpus
+    ranked = keyed.withColumn("__own", F.row_number().over(own) - 1).join(by_part.drop("n").hint("merge"), ["length", "__part"])
     ranked = ranked.withColumn("__rank", F.col("before") + F.col("__own"))
     fits = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     at = F.col("__rank") - F.col("__from")
