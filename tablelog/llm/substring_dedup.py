@@ -278,45 +278,50 @@ def repeats(
 
 
 def _walk_documents(docs: DataFrame, asked: DataFrame, handle, schema: str) -> DataFrame:
-    """Run ``handle(doc, words, requests)`` for each document with requests, streaming both.
+    """Run ``handle(rows)`` over documents with requests, streaming both.
 
-    ``asked``: (doc, start, words, run).  Requests of a document follow its
+    ``asked``: (doc, start, words, owner, owner_start).  Requests of a document follow its
     text in one sorted partition; they are an iterator, never gathered.
     """
-    texts = docs.filter(maybe_in(asked, "doc")).select(
-        "doc", F.lit(0).alias("kind"), "text", *[F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("words", "int"), ("run", "bigint"))]
-    )
-    rows = texts.union(asked.select("doc", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "start", "words", "run"))
+    of = {"start": "int", "words": "int", "owner": "bigint", "owner_start": "int"}
+    texts = docs.filter(maybe_in(asked, "doc")).select("doc", F.lit(0).alias("kind"), "text", *[F.lit(None).cast(t).alias(n) for n, t in of.items()])
+    rows = texts.union(asked.select("doc", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), *of))
     rows = rows.repartition("doc").sortWithinPartitions("doc", "kind", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from handle(
-            row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc", "kind", "text", "start", "words", "run")))
-        )
+        yield from handle(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc", "kind", "text", *of))))
 
     return rows.mapInArrow(run, schema)
 
 
 def mismatches(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run): repeats whose two ends are different words.  ``runs`` has a column ``run`` with distinct numbers."""
-    ends = runs.select("doc", "start", "words", "run").union(runs.select("owner", "owner_start", "words", "run"))
+    """(owner, owner_start, words): places whose words differ from those of a document that repeats them by name.
+
+    Each place of an owner is asked for once, however many documents repeat it.
+    """
+    place = [F.col("owner").alias("doc"), F.col("owner_start").alias("start"), "words", "owner", "owner_start"]
+    ends = runs.select("doc", "start", "words", "owner", "owner_start").union(runs.select("owner", "owner_start", "words").distinct().select(*place))
+    names, types = ["owner", "owner_start", "words", "digest"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     def handle(rows) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple] = []
         doc, words = None, []
-        for d, kind, text, start, n, run in rows:
+        for d, kind, text, start, n, owner, owner_start in rows:
             if kind == 0:
                 doc, words = d, (text or "").encode().split()
             elif d == doc:
-                out.append((run, hashlib.md5(b" ".join(words[start : start + n])).digest()))
+                out.append((owner, owner_start, n, hashlib.md5(b" ".join(words[start : start + n])).digest()))
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["run", "digest"])
+                yield batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["run", "digest"])
+            yield batch(out)
 
-    digests = _walk_documents(docs, ends, handle, "run bigint, digest binary")
-    return digests.groupBy("run").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("run")
+    digests = _walk_documents(docs, ends, handle, "owner bigint, owner_start int, words int, digest binary")
+    return digests.groupBy("owner", "owner_start", "words").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").drop("a", "b")
 
 
 def verified_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, **options) -> DataFrame:
@@ -326,10 +331,9 @@ def verified_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     mismatch wherever it gives a window the wrong owner.  Others are repeated with other names.
     """
     for seed in range(rounds):
-        runs = repeats(docs, window, seed, **options).withColumn("run", F.monotonically_increasing_id())
-        runs = stored(runs, "substring-runs")
+        runs = stored(repeats(docs, window, seed, **options), "substring-runs")
         if mismatches(docs, runs).isEmpty():
-            return runs.drop("run")
+            return runs
         drop_stored(runs)
     raise RuntimeError(f"{rounds} searches each met two paths of one name")
 
@@ -350,7 +354,7 @@ def remove_repeats(
         ids = source.select("doc", "id")
         runs = runs.join(ids, "doc").join(ids.select(F.col("doc").alias("owner"), F.col("id").alias("__of")), "owner")
         runs = stored(runs.filter("id <> __of"), "substring-owned")
-    asked = runs.select("doc", "start", "words", F.lit(0).cast("long").alias("run"))
+    asked = runs.select("doc", "start", "words", "owner", "owner_start")
     schema = "doc bigint, n_words bigint, n_removed bigint, kept string"
     names = ["doc", "n_words", "n_removed", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -368,7 +372,7 @@ def remove_repeats(
     def handle(rows) -> Iterator[pa.RecordBatch]:
         out: list = []
         doc, words, removed = None, [], np.empty(0, dtype=bool)
-        for d, kind, text, start, n, _ in rows:
+        for d, kind, text, start, n, *_ in rows:
             if kind == 0:
                 if doc is not None:
                     out.append(cut(doc, words, removed))
