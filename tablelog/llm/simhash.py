@@ -19,6 +19,9 @@ Equal fingerprints collapse before any pair is formed.  A key with more than
 exactly through their one-bit neighbours (two words are within two bits if and
 only if some word is within one bit of both).
 
+``first_links`` is the same search with a wider radius and one partner for each
+fingerprint: candidates for a check of another kind (``near_documents``).
+
 Defined results: a null, empty or blank text has fingerprint 0 and is linked
 like any other; repeated doc_ids keep their rows; an empty table gives no rows.
 """
@@ -44,6 +47,8 @@ REFERENCES = 24
 BUCKET = 2048
 #: Edges held before they are reduced to labels.
 EDGES = 500_000
+#: Radius of :func:`first_links`.
+WIDE = 6
 
 
 def references(n: int, seed: int = 1) -> np.ndarray:
@@ -181,7 +186,33 @@ def linked_in_keys(key: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndar
     return fp[moved], fp[label[moved]]
 
 
-def _walk(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterator[pa.RecordBatch]:
+def least_in_keys(key: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first member within ``radius`` that stands before it) among fingerprints with equal keys; ``key`` is sorted."""
+    n = len(fp)
+    table = distance_table(fp, pivots).astype(np.int8)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    i = np.repeat(starts, np.diff(np.r_[starts, n]))
+    j, first = np.arange(n), np.full(n, -1)
+    while True:
+        before = i < j
+        i, j = i[before], j[before]
+        if not len(j):
+            break
+        a, b = i, j
+        for p in range(len(pivots)):  # as in linked_in_keys
+            close = np.abs(table[a, p] - table[b, p]) <= radius
+            a, b = a[close], b[close]
+            if not len(a):
+                break
+        close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+        first[b[close]] = a[close]
+        left = first[j] < 0
+        i, j = i[left] + 1, j[left]
+    found = np.flatnonzero(first >= 0)
+    return fp[found], fp[first[found]]
+
+
+def _walk(batches: Iterator[pa.RecordBatch], radius: int, bucket: int, linked=linked_in_keys) -> Iterator[pa.RecordBatch]:
     """Rows (k, fp) sorted by k: complete keys are compared, too large ones passed on with ``large``."""
     pivots = references(REFERENCES)
     key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -201,7 +232,7 @@ def _walk(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterat
         if many.any():
             yield out(f[many], f[many], True)
         if some.any():
-            yield out(*linked_in_keys(k[some], f[some], radius, pivots), False)
+            yield out(*linked(k[some], f[some], radius, pivots), False)
 
     for b in batches:
         k, f = b.column("k").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
@@ -244,17 +275,34 @@ def links(distinct: DataFrame, radius: int = 2, groups: int | None = None, bucke
     """
     if radius not in (1, 2):
         raise ValueError(f"radius {radius}: crowded keys are linked exactly up to 2")
-    spark = distinct.sparkSession
     if groups is None:  # longer keys, and more of them, once 32 coordinates would be crowded
         groups = radius + (2 if distinct.count() < 1 << 28 else 4)
+    return _found(distinct, radius, groups, bucket, linked_in_keys).distinct()
+
+
+def _found(distinct: DataFrame, radius: int, groups: int, bucket: int, linked) -> DataFrame:
+    """(a, b): what ``linked`` finds within keys, and the links within 2 bits of members of crowded keys."""
+    spark = distinct.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    rows = keyed(distinct, key_groups(radius, groups)).repartition("k").sortWithinPartitions("k")
+    rows = keyed(distinct, key_groups(radius, groups)).repartition("k").sortWithinPartitions("k", "fp")
     found = stored(
-        rows.mapInArrow(lambda batches: _walk(batches, radius, bucket), "a bigint, b bigint, large boolean"), "simhash-links"
+        rows.mapInArrow(lambda batches: _walk(batches, radius, bucket, linked), "a bigint, b bigint, large boolean"), "simhash-links"
     )
     small_batches(spark)
     large = found.filter("large").select("a").distinct()
-    return found.filter("not large").select("a", "b").union(_neighbour_edges(large, radius)).distinct()
+    return found.filter("not large").select("a", "b").union(_neighbour_edges(large, min(radius, 2)))
+
+
+def first_links(distinct: DataFrame, radius: int = WIDE, groups: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b as signed numbers: for each fingerprint ``b`` the least one within ``radius``, if there is one.
+
+    One row for each ``b``, however large its group.  Where a key has more than ``bucket``
+    members its links are looked for within 2 bits only: the caller has to find the rest.
+    """
+    if groups is None:  # as in links, for 16 coordinates
+        groups = radius + (2 if distinct.count() < 1 << 24 else 3)
+    found = _found(distinct, radius, groups, bucket, least_in_keys)
+    return found.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def near_duplicates(

@@ -141,6 +141,46 @@ def test_near_documents(spark, none, repeated):
     assert near_documents.near_duplicates(repeated).count() == 41
 
 
+@pytest.mark.parametrize("groups", [None, 9])
+def test_first_links_are_the_least_near_fingerprints(spark, groups):
+    rng = random.Random(6)
+    centers = [rng.getrandbits(64) for _ in range(8)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centers for _ in range(40)})
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    near = {b: [a for a in fps if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= simhash.WIDE] for b in fps}
+    assert {(r["a"], r["b"]) for r in simhash.first_links(df, groups=groups).collect()} == {(x[0], b) for b, x in near.items() if x}
+    crowded = {(r["a"], r["b"]) for r in simhash.first_links(df, bucket=2).collect()}
+    assert crowded and len({b for _, b in crowded}) == len(crowded) and all(a in near[b] for a, b in crowded)
+
+
+def test_near_documents_are_linked_by_fingerprints(spark, monkeypatch):
+    """Without the exact join the links are those of simhash that the sets confirm; the join leaves out what they connect."""
+    rows = near_rows()
+    sets = [shingles(t) for _, t in rows]
+    signed = [x - (1 << 64) if x >> 63 else x for x in (slow_fingerprint(t, 5) for _, t in rows)]
+    one = {s: k for k, s in reversed(list(enumerate(map(frozenset, sets))))}  # equal sets have one fingerprint
+    first = {x: k for k, x in reversed(list(enumerate(signed)))}
+    linked = [(k, one[frozenset(s)]) for k, s in enumerate(sets)] + [(k, first[x]) for k, x in enumerate(signed) if alike(sets[k], sets[first[x]])]
+    for b, k in first.items():
+        near = [a for a in first if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= simhash.WIDE] if sets[k] else []
+        if near and alike(sets[k], sets[first[min(near)]]):
+            linked.append((k, first[min(near)]))
+    root = components(len(rows), linked)
+    formed = []
+
+    def none_of(tokens):
+        formed.extend(near_documents._pairs(tokens.orderBy("k", "n").toPandas()))
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(near_documents, "candidates", none_of)
+    source = frame(spark, rows).coalesce(1)  # so uids are places
+    got = {r["doc_id"]: r["component_id"] for r in near_documents.near_duplicates(source).collect()}
+    assert got == {rows[k][0]: rows[root[k]][0] for k in range(len(rows))}
+    assert any(bin((signed[i] ^ signed[j]) & (1 << 64) - 1).count("1") > 2 and alike(sets[i], sets[j]) for i, j in linked)
+    assert formed and not any(root[i] == root[j] for a, b in formed for i, j in zip(a.tolist(), b.tolist()))
+
+
 def test_near_duplicate_stage_of_the_pipeline(spark, tmp_path):
     rows = near_rows()
     sets = [shingles(t) for _, t in rows]
