@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tablelog.llm import decontamination, line_dedup, near_documents, packing, simhash, substring_dedup, warc
+from tablelog.llm import common, decontamination, line_dedup, native_lines, near_documents, packing, simhash, substring_dedup, warc
 from tablelog.llm.components import connected_components
 from tests.llm.conftest import frame
 
@@ -220,6 +220,26 @@ def test_line_dedup(spark, docs, rows, none, repeated, native):
     assert line_dedup.dedup_lines(repeated, native=native).count() == 41
 
 
+def test_line_dedup_query_runs_no_python(spark, rows, monkeypatch, tmp_path):
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    plans, store = [], line_dedup.stored
+    freed = spark.conf.get(common.FREED)
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    for module in (line_dedup, native_lines):
+        monkeypatch.setattr(module, "stored", recorded)
+    out = line_dedup.op9_line_dedup(spark, str(tmp_path))
+    texts, removed = slow_lines(rows)
+    sha = {k: None if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+    assert {r["doc_id"]: (r["n_removed"], r["text_sha256"]) for r in out.collect()} == {k: (removed[k], sha[k]) for k in sha}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any(re.search("Python|InArrow|InPandas", p) for p in plans)
+    assert spark.conf.get(common.FREED) == freed
+
+
 @pytest.mark.parametrize("native", [False, True])
 def test_line_dedup_near_lines(spark, native):
     rng = random.Random(2)
