@@ -255,6 +255,28 @@ def test_line_dedup_near_lines(spark, native):
     assert got == slow_lines(rows)[0]
 
 
+@pytest.mark.parametrize("sample", [1, 1 << 40])
+def test_native_lines_whatever_is_sampled(spark, monkeypatch, sample):
+    """Counts of all words or of none, any separators; sets are joined without being sorted."""
+    plans, store = [], native_lines.stored
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(native_lines, "SAMPLE", sample)
+    monkeypatch.setattr(native_lines, "stored", recorded)
+    w = [f"w{k}" for k in range(30)]
+    near = [*w[:28], "x1", "x2"]
+    rows = [(1, " ".join(w) + "\nh i j k\n \t"), (2, "\t".join(w) + "\r\n" + " \x0b".join(near)), (3, "\x0c".join(near) + "\n  h  i j\tk\n" + "\r".join(w[:12] + w[9:]))]
+    rows += [(4, "a b c d e a b c d e a b c d e\nb c d e a b c d e a b c"), (5, "\x0bh i j\x0ck\r\n" + "  ".join(w[3:] + ["y"]))]
+    texts, removed = slow_lines(rows)
+    got = line_dedup.dedup_lines(frame(spark, rows), count_col="removed", native=True).collect()
+    assert {r["doc_id"]: (r["text"], r["removed"]) for r in got} == {k: (texts[k], removed[k]) for k in texts} and sum(removed.values()) > 4
+    met = [p for name, p in plans if name == "line-verified"]
+    assert len(met) == 2 and all(p.count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in p for p in met)
+
+
 BENCH = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "Short item here"), (3, ""), (4, None), (10, "short ITEM here")]
 
 
