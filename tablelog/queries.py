@@ -44,7 +44,7 @@ def _fixture(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], str
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Log table of a driver table: lineitem and orders in three commits by key, others in one."""
+    """Log table of a driver table: lineitem and orders in three commits by key (nulls in the last), others in one."""
 
     def make() -> str:
         df = _raw(spark, sf_dir, name)
@@ -52,8 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> str:
             return X.build(spark, name, [df])
         key = "l_orderkey" if name == "lineitem" else "o_orderkey"
         low, high = df.agg(F.min(key), F.max(key)).first()
+        low, high = low or 0, high or 0  # no rows, or no keys
         step = (high - low) // 3 + 1
-        return X.build(spark, name, [df.filter((F.col(key) >= low + k * step) & (F.col(key) < low + (k + 1) * step)) for k in range(3)])
+        thirds = [(F.col(key) >= low + k * step) & (F.col(key) < low + (k + 1) * step) for k in range(3)]
+        return X.build(spark, name, [df.filter(t) for t in (*thirds[:2], thirds[2] | F.col(key).isNull())])
 
     return _fixture(spark, sf_dir, name, make)
 
