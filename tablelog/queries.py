@@ -570,7 +570,7 @@ def range_join_parts(spark, sf_dir):
     """Customers with the price band of their balance."""
     s = session(spark, sf_dir, ("customer", "supplier"))
     bands = s.table("supplier").select(F.col("s_suppkey"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 100).alias("high"))
-    out = range_join(s.table("customer"), bands, F.col("c_acctbal"), F.col("low"), F.col("high"), 100.0)
+    out = range_join(s.table("customer").select("c_custkey", "c_acctbal"), bands, F.col("c_acctbal"), F.col("low"), F.col("high"), 100.0)
     return out.select("c_custkey", "s_suppkey")
 
 

@@ -6,6 +6,7 @@ import decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelog import fixtures as X
@@ -312,3 +313,23 @@ def test_fixture_keeps_rows_without_keys(spark, tmp_path):
         spark.range(20).selectExpr(f"{key} AS o_orderkey", "id AS o_custkey").write.parquet(f"file://{tmp_path}/{name}/orders.parquet")
         path = queries.table(spark, f"file://{tmp_path}/{name}", "orders")
         assert sorted(r[0] for r in scan(spark, path).select("o_custkey").collect()) == list(range(20))
+
+
+def test_range_join_deals_a_large_bucket_to_many_tasks(spark):
+    """All rows in one bucket, copies, nulls, ends of intervals and empty sides: the pairs of a plain join, no task with most of them."""
+    from tablelog.operators.joins import range_join
+
+    left = spark.range(0, 600, 1, 3).selectExpr("id % 500 AS k", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 7 = 0 THEN id * 10.0D ELSE 100.0D + id % 60 END AS p", "map('k', id) AS m")
+    right = spark.range(0, 90, 1, 2).selectExpr("id AS r", "100.0D + id % 40 AS low", "CASE WHEN id % 9 = 0 THEN 90.0D ELSE 110.0D + id % 45 END AS high")
+    condition = (F.col("low") <= F.col("p")) & (F.col("p") < F.col("high"))
+    for a, b in ((left, right), (left.limit(0), right), (left, right.filter("high < low"))):
+        got = range_join(a, b, F.col("p"), F.col("low"), F.col("high"), 100.0, block_rows=16, task_pairs=1000)
+        expected = a.join(b, condition)
+        assert got.columns == expected.columns
+        key = lambda df: sorted(map(tuple, df.select("k", "p", "r", "low", "high").collect()))
+        assert key(got) == key(expected)
+    got = range_join(left, right, F.col("p"), F.col("low"), F.col("high"), 100.0, block_rows=16, task_pairs=1000)
+    parts = [r[0] for r in got.select("k", "r").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(parts) > 20
+    assert max(parts) < sum(parts) / 4
+    assert "BroadcastHashJoin [__b" not in got._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")[0]
