@@ -118,7 +118,8 @@ def file_stats(written: DataFrame, schema: T.StructType, parts: list[str]) -> di
     bounded = [(p, t) for p, t in own if not isinstance(t, T.BinaryType)]
     out: dict[str, list] = {}
     for k in range(0, max(1, len(own)), STATS_COLUMNS):
-        aggs = [F.count("*").alias("n")]
+        # a set that stays empty has Spark keep strings' bounds in a hash table too; else it sorts all rows by their file
+        aggs = [F.count("*").alias("n"), F.collect_set(F.when(F.col("_metadata.file_path").isNull(), 0)).alias("hashed")]
         for j, (p, t) in enumerate(own[k : k + STATS_COLUMNS]):
             c = S.column(p)
             aggs.append(F.count_if(c.isNull()).alias(f"n{j}"))

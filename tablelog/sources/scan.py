@@ -37,6 +37,8 @@ PARQUET_OPTIONS = {
 _NUMBERED = {"file_number", "delta_file_number", "file_index", "rowid"}
 #: Files of one reader; more are united, so that no single listing grows too long.
 READER_FILES = 10_000
+#: Files whose numbers and partition values are sent to each executor; those of more are joined by a shuffle.
+BROADCAST_FILES = 10_000
 
 
 @dataclass
@@ -143,7 +145,10 @@ def scan_snapshot(
     if with_dv:
         df = df.join(_deleted(snapshot, with_dv), (F.col("__file") == F.col("file_key")) & (F.col("__row") == F.col("row_index")), "left_anti")
     if for_join:
-        df = df.join(_constants(snapshot, fs, rows, [] if hive else sorted(parts)), F.col("__file") == F.col("__key"))
+        constants = _constants(snapshot, fs, rows, [] if hive else sorted(parts))
+        # Spark doesn't know how few they are, and would shuffle and sort all rows by their file
+        constants = F.broadcast(constants) if len(rows) <= BROADCAST_FILES else constants
+        df = df.join(constants, F.col("__file") == F.col("__key"))
     if mode == "none" and not virtual and df.columns == names:
         return df
     columns = names if mode == "none" and not any("`" in n or "." in n for n in names) else S.logical_columns(snapshot.schema, mode)

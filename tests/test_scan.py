@@ -333,3 +333,33 @@ def test_range_join_deals_a_large_bucket_to_many_tasks(spark):
     assert len(parts) > 20
     assert max(parts) < sum(parts) / 4
     assert "BroadcastHashJoin [__b" not in got._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")[0]
+
+
+def test_row_numbers_are_counted_without_a_group_for_each_row(spark, tmp_path, monkeypatch):
+    """Gaps, repeats, nulls, other starts and several file numbers are found; rows are neither sorted nor shuffled by file."""
+    from tablelog import queries
+
+    lineitem = spark.range(0, 300, 1, 2).selectExpr("id AS l_orderkey", "concat('x', id) AS l_returnflag")
+    lineitem.write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    df = queries.virtual_columns_by_file(spark, f"file://{tmp_path}")
+    assert [tuple(r) for r in df.collect()] == [(300, 0)]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not any(k in plan for k in ("SortMergeJoin", "SortAggregate", "Expand"))
+    rows = [(f, k, 1) for f, numbers in {
+        "whole": range(200), "gap": [0, 1, 3, 4], "repeat": [0, 1, 1, 3], "late": range(1, 5), "null": [0, 1, None], "nulls": [None], "below": [-1, 0, 1],
+    }.items() for k in numbers] + [("two", 0, 1), ("two", 1, 2), ("none", 0, None)]
+    made = spark.createDataFrame(rows, "filename string, file_row_number bigint, file_number bigint")
+    monkeypatch.setattr(queries, "scan", lambda *a, **b: made)
+    assert [tuple(r) for r in queries.virtual_columns_by_file(spark, f"file://{tmp_path}").collect()] == [(len(rows), 8)]
+
+
+def test_statistics_of_strings_are_hashed(spark, root, monkeypatch):
+    """Bounds of strings are aggregated in a hash table: no sort of all rows by their file."""
+    plans, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or collect(df))
+    create_table(spark, root, T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType())]))
+    with Transaction(Snapshot.load(spark, root)) as tx:
+        tx.insert(spark.range(40).selectExpr("id AS k", "concat('v', id) AS s"))
+    (plan,) = {p for p in plans if "min(s#" in p}
+    assert "ObjectHashAggregate" in plan
+    assert "SortAggregate" not in plan
