@@ -363,3 +363,34 @@ def test_statistics_of_strings_are_hashed(spark, root, monkeypatch):
     (plan,) = {p for p in plans if "min(s#" in p}
     assert "ObjectHashAggregate" in plan
     assert "SortAggregate" not in plan
+
+
+def test_distinct_values_come_before_sketches(spark, root):
+    """No sketch is kept for each distinct value; results are those of Spark's own plan, and other queries keep theirs."""
+    create_table(spark, root, T.StructType([T.StructField("g", T.StringType()), T.StructField("k", T.LongType()), T.StructField("v", T.LongType())]))
+    s = Session(spark)
+    s.attach(root, "t")
+    rows = spark.range(0, 400, 1, 3).selectExpr("CASE WHEN id % 5 < 4 THEN concat('g', id % 5) END AS g", "CASE WHEN id % 5 <> 1 AND id % 7 > 0 THEN id % 90 END AS k", "id % 11 AS v")
+    s.insert("t", rows)
+    rows.createOrReplaceTempView("plain_rows")
+    first = [
+        "SELECT g, abs(approx_count_distinct(k, 0.02) - count(DISTINCT k)) AS d, count(DISTINCT k) AS n FROM {} GROUP BY g",
+        "SELECT approx_count_distinct(k) AS a, sum(DISTINCT k) + max(k) AS n FROM {}",
+        "SELECT g, v, approx_count_distinct(k) AS a, count(DISTINCT k) AS n, grouping(v) AS r FROM {} GROUP BY ROLLUP (g, v) HAVING count(DISTINCT k) > 1",
+        "SELECT g, approx_count_distinct(k) AS a, count(DISTINCT v, k) AS n FROM {} GROUP BY g",
+        "SELECT approx_count_distinct(k) AS a, count(DISTINCT k) AS n FROM {} WHERE k < 0",
+        "SELECT * FROM (SELECT g, approx_count_distinct(g) AS a, count(DISTINCT g) AS n FROM {} GROUP BY g) WHERE n = 1",
+    ]
+    own = [
+        "SELECT g, approx_count_distinct(v) AS a, count(DISTINCT k) AS n FROM {} GROUP BY g",
+        "SELECT g, approx_count_distinct(k) AS a, count(DISTINCT k) AS n, count(k) AS c FROM {} GROUP BY g",
+        "SELECT g, approx_count_distinct(k) AS a, count(DISTINCT k) FILTER (WHERE v > 2) AS n FROM {} GROUP BY g",
+        "SELECT g, approx_count_distinct(k) AS a, count(DISTINCT k + 1) AS n FROM {} GROUP BY g",
+    ]
+    for text in first + own:
+        df = s.sql(text.format("t"))
+        expected = spark.sql(text.format("plain_rows"))
+        assert df.schema == expected.schema
+        assert sorted(map(str, df.collect())) == sorted(map(str, expected.collect())), text
+        analyzed = df._jdf.queryExecution().analyzed().toString()
+        assert ("distinct" in analyzed.replace("approx_count_distinct", "")) == (text in own), text
